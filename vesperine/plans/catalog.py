@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from vesperine.plans import evaluation, texts, vectors
+
+_MODULES = (vectors, texts, evaluation)
+
 
 def queries() -> dict:
-    return {}
+    return {query.__name__: query for module in _MODULES for query in module.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found: dict[str, str] = {}
+    for module in _MODULES:
+        found |= module.oracles()
+    return found
