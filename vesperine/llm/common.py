@@ -56,3 +56,16 @@ def parts_for(n_bytes: int, each: int) -> int:
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of a value's decimal text, modulo ``modulus``."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
+
+
+#: Ids of at most this many rows (32 MB of longs) are sent to every executor.
+BROADCAST_IDS = 4_000_000
+
+
+def without(docs: DataFrame, id_col: str, dropped: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows whose id is not among ``dropped`` (one column). A null id is
+    never among them. The ids are counted first: few are broadcast, so that no
+    text moves; more are joined by a shuffle."""
+    ids = write_shared(dropped.toDF("__drop").filter("__drop is not null").distinct(), "dropped-ids")
+    few = ids.count() <= most
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["__drop"], "left_anti")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vesperine.llm import textbytes as tb
-from vesperine.llm.common import parts_for, text_bytes
+from vesperine.llm.common import parts_for, text_bytes, without
 
 SHARD_BYTES = 8 << 20  # of test items sent to the executors at once
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -262,5 +262,4 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that contain no test item, with their columns."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    return without(docs, id_col, contaminated(docs, benchmark, id_col, **options).select("doc_id"))

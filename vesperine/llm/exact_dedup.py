@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesperine.llm.common import write_shared
+from vesperine.llm.common import without, write_shared
 
 # The white space that normalisation deletes.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -103,3 +103,8 @@ def exact_dedup(
         keep.eqNullSafe(F.col("__id")).alias("kept"),
         F.col("__digest").alias("digest"),
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that stay, with their columns."""
+    return without(docs, id_col, exact_dedup(docs, id_col, text_col, **options).filter("not kept").select(id_col))

@@ -140,36 +140,66 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: ob
     return [r["t"] for r in got], [r["l"] for r in got]
 
 
+def _judge(texts: pa.Array, model: Model, cache: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text."""
+    raw, off = tb.column(texts)
+    pred, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
+    for i, j in tb.slices(off, 1 << 18, 256):
+        part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        letters = _has_letter(part, o)
+        if model.languages and letters.any():
+            if not cache:
+                cache.append(_lookup(model.grams))
+            f = _kernel(_presence(_FOLD[part], o, model.grams, cache[0]), model.landmarks) @ model.weights + model.bias
+            odds = np.exp(4 * (f - f.max(axis=1, keepdims=True)))
+            pred[i:j] = np.where(letters, np.array(model.languages, dtype=object)[f.argmax(axis=1)], UNDETERMINED)
+            score[i:j] = np.where(letters, odds.max(axis=1) / odds.sum(axis=1), 0.0)
+    return pred, score
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, lang_pred, score`` of every row; only the text is looked at."""
     cache: list[np.ndarray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = tb.column(batch.column(1))
-            folded = _FOLD[raw]
-            for i, j in tb.slices(off, 1 << 18, 256):
-                part, o = folded[off[i] : off[j]], off[i : j + 1] - off[i]
-                letters = _has_letter(raw[off[i] : off[j]], o)
-                pred, score = np.full(j - i, UNDETERMINED, dtype=object), np.zeros(j - i)
-                if model.languages and letters.any():
-                    if not cache:
-                        cache.append(_lookup(model.grams))
-                    f = _kernel(_presence(part, o, model.grams, cache[0]), model.landmarks) @ model.weights + model.bias
-                    top = f.argmax(axis=1)
-                    odds = np.exp(4 * (f - f.max(axis=1, keepdims=True)))
-                    odds = odds.max(axis=1) / odds.sum(axis=1)
-                    pred = np.where(letters, np.array(model.languages, dtype=object)[top], UNDETERMINED)
-                    score = np.where(letters, odds, 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(list(pred), pa.string()), pa.array(score.astype(np.float64))],
-                    names=[id_col, "lang_pred", "score"],
-                )
+            pred, score = _judge(batch.column(1), model, cache)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(pred), pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"]
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def keep_identified(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    least: float = 0.0,
+    languages: list[str] | None = None,
+    per_language: int = 300,
+    landmarks: int = 96,
+) -> DataFrame:
+    """The rows whose language can be told (and is one of ``languages``, if
+    given) with at least the score ``least``; columns are as they were, and no
+    row moves. The model is fitted on a sample of all labelled rows."""
+    model = fit(*sample(docs, id_col, text_col, lang_col, F.col(id_col).isNotNull(), per_language), landmarks=landmarks)
+    where = docs.columns.index(text_col)
+    cache: list[np.ndarray] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score = _judge(batch.column(where), model, cache)
+            keep = (pred != UNDETERMINED) & (score >= least)
+            if languages is not None:
+                keep &= np.isin(pred.astype(str), languages)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _has_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Whether each text has a letter: ASCII ones at once, others by name."""
     ascii_letter = np.zeros(256, dtype=bool)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vesperine.llm import textbytes as tb
-from vesperine.llm.common import drop_shared, parts_for, write_shared
+from vesperine.llm.common import drop_shared, parts_for, without, write_shared
 
 GROUP_SHINGLES = 3_000_000  # of one confirming task
 
@@ -313,3 +313,8 @@ def near_duplicates(
     return out.select(
         F.col("doc_id").alias(id_col), "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, with its columns."""
+    return without(docs, id_col, near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(id_col))
