@@ -99,6 +99,15 @@ def entry_point(nodes: DataFrame, fanout: int = 16, seed: str = "level-42:") ->
     return ranked.agg(F.min_by(F.struct("id", "level"), F.struct(-F.col("level"), F.col("h"), F.col("id"))).alias("e")).select("e.id", "e.level")
 
 
+SEEDS = 64
+
+
+def seeds(nodes: DataFrame, seed: str = "seeds-42:") -> DataFrame:
+    """``id``: a fixed number of nodes of least hash. A neighbour graph may fall
+    into parts; walks also start from the nearest of these."""
+    return nodes.select("id", rank_hash(seed, F.col("id")).alias("h")).orderBy("h", "id").limit(SEEDS).select("id")
+
+
 def hops(graph: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """``query_id, id, hop``: nodes within ``depth`` edges of each source.
     Levels are joined one after another, and a node met before is dropped, so

@@ -219,7 +219,7 @@ def _walked(spark, sf_dir):
     queries = asked(spark, sf_dir).select("query_id", "v")
     base = write_shared(_graph(spark, sf_dir), "graph")
     upper = write_shared(graph.layers(rows, DEGREE), "layers")
-    start = search.route(upper, rows, queries, graph.entry_point(rows))
+    start = search.starts(search.route(upper, rows, queries, graph.entry_point(rows)), graph.seeds(rows), rows, queries)
     return search.beam_search(base, rows, queries, start, 64, 10)
 
 
