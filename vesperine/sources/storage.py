@@ -1,4 +1,7 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share.
+
+A query's intermediate tables stand under one folder per application, which
+:func:`forget` deletes once all its results are written."""
 
 from __future__ import annotations
 
@@ -22,10 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vesperine/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application."""
+    delete(spark, _folder(spark))
+
+
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vesperine/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
