@@ -1,45 +1,15 @@
-"""Shared storage and small column helpers for the training-data operators."""
+"""Small helpers of the training-data operators."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from vesperine.sources.storage import drop_shared, shared_dir, write_shared
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session leaves it unset (a local test) one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="vesperine-")
-    return _OWN[app]
-
-
-def write_shared(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vesperine/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_shared(df: DataFrame) -> None:
-    """Delete a table made by :func:`write_shared`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["BROADCAST_IDS", "crc_mod", "drop_shared", "parts_for", "shared_dir", "text_bytes", "without", "write_shared"]
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:
