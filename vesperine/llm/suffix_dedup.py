@@ -201,12 +201,12 @@ def _answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, bl.MESSAGE)
 
 
-_ROW = np.dtype([("name", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("first", "<i8"), ("count", "<i4"), ("size", "<i4")])
+_ROW = np.dtype([("name", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("first", "<u4"), ("count", "<u4")])
 
 
 def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int) -> DataFrame:
     """Runs of shared names, to their buckets; what the block itself can
-    decide goes straight on, as bucket -1."""
+    decide goes straight on, in a bucket of its own (-1 - block)."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -239,7 +239,7 @@ def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int)
                 send.append(r)
         out_b, out_d = [], []
         if local:
-            out_b.append(-1)
+            out_b.append(-1 - block)
             row = b.doc[some[local]]
             out_d.append(_spans(row, first[local] - b.off[row], count[local]))
         send = np.array(send)
@@ -248,7 +248,7 @@ def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int)
             head = np.zeros(len(r), _ROW)
             row = b.doc[some[r]]
             head["name"], head["doc"], head["row"] = b.name[some[r]], b.ids[row], row
-            head["first"], head["count"], head["size"] = first[r] - b.off[row], count[r], size[r]
+            head["first"], head["count"] = first[r] - b.off[row], count[r]
             out_b.append(home)
             out_d.append(np.int64(len(r)).tobytes() + head.tobytes() + b"".join(segments[k] for k in r))
         return bl.message(out_b, [block] * len(out_b), out_d)
@@ -257,21 +257,28 @@ def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int)
 
 
 def _spans(row: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
-    return np.stack([np.asarray(row, np.int64), np.asarray(first, np.int64), np.asarray(count, np.int64)], axis=1).tobytes()
+    """Windows in order, those that follow one another as one."""
+    row, first, count = (np.asarray(x, np.int64) for x in (row, first, count))
+    order = np.lexsort((first, row))
+    row, first, stop = row[order], first[order], (first + count)[order]
+    fresh = np.ones(len(row), dtype=bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (first[1:] != stop[:-1])
+    last = np.append(np.flatnonzero(fresh)[1:], len(row)) - 1
+    return np.stack([row[fresh], first[fresh], stop[last] - first[fresh]], axis=1).tobytes()
 
 
 def _decide(sent: DataFrame, length: int) -> DataFrame:
     """The removed windows of each block: (row in the block, first, count)."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() == -1:
+        if table["bucket"][0].as_py() < 0:
             return table.select(["bucket", "block", "data"])
         heads, blobs, origin = [], [], []
         for block, data in zip(table["block"].to_pylist(), table["data"]):
             raw = data.as_py()
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             head = np.frombuffer(raw, _ROW, n, 8)
-            at = 8 + n * _ROW.itemsize + np.concatenate(([0], np.cumsum(head["size"])))
+            at = 8 + n * _ROW.itemsize + np.concatenate(([0], np.cumsum(head["count"].astype(np.int64) + length - 1)))
             heads.append(head)
             blobs += [raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
             origin.append(np.full(n, block))
@@ -288,7 +295,7 @@ def _decide(sent: DataFrame, length: int) -> DataFrame:
             # suffixes of different names have no common window
             texts = [t for ts, _ in hold for t in ts]
             reps = [r for _, rs in hold for r in rs]
-            found = longest_previous(texts, head["doc"][reps], length, head["count"][reps].tolist())
+            found = longest_previous(texts, head["doc"][reps], length, head["count"][reps].astype(np.int64).tolist())
             for r, lpf in zip(reps, found):
                 hit = np.flatnonzero(np.diff(np.concatenate(([0], lpf >= length, [0])).astype(np.int8)))
                 out.extend((r, a, b - a) for a, b in zip(hit[::2].tolist(), hit[1::2].tolist()))
@@ -315,8 +322,8 @@ def _decide(sent: DataFrame, length: int) -> DataFrame:
         home = origin[rows]
         order = np.argsort(home, kind="stable")
         parts = np.split(order, np.flatnonzero(np.diff(home[order])) + 1)
-        data = [_spans(head["row"][rows[p]], head["first"][rows[p]] + a[p], n[p]) for p in parts]
-        return bl.message([-1] * len(parts), [int(home[p[0]]) for p in parts], data)
+        data = [_spans(head["row"][rows[p]], head["first"][rows[p]].astype(np.int64) + a[p], n[p]) for p in parts]
+        return bl.message([0] * len(parts), [int(home[p[0]]) for p in parts], data)
 
     return sent.groupBy("bucket").applyInArrow(run, bl.MESSAGE)
 
