@@ -40,10 +40,14 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 def test_approximate_searches_reach_their_recall(spark):
-    for name in ("pq_rerank_recall", "ivf_recall", "graph_beam_recall"):
+    for name in ("pq_rerank_recall", "ivf_recall", "simhash_recall", "graph_beam_recall"):
         rows = QUERIES[name](spark, SF).collect()
         assert len(rows) == 5 and sum(r.recall for r in rows) / len(rows) >= 0.9, name
 
 
+def test_cell_graph_reaches_its_recall(spark):
+    assert QUERIES["cell_graph_recall"](spark, SF).first().recall >= 0.9
+
+
 def test_crc32c_of_all_documents(spark):
     assert QUERIES["crc32c_documents"](spark, SF).filter("crc32c between 0 and 4294967295").count() == 200

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vesperine.functions.text import rank_hash
-from vesperine.operators import neighbours
+from vesperine.operators import neighbours, quantize
+from vesperine.sources.storage import write_shared
+
+
+#: Up to here each vector is compared with all; beyond it, cells are asked.
+EXACT_LIMIT = 100_000
+
+
+def edges_of(vectors: DataFrame, degree: int, limit: int = EXACT_LIMIT) -> DataFrame:
+    """Neighbour edges by the plan that the corpus' size allows."""
+    small = vectors.limit(limit + 1).count() <= limit
+    return knn_edges(vectors, degree) if small else knn_edges_in_cells(vectors, degree)
 
 
 def knn_edges(vectors: DataFrame, degree: int) -> DataFrame:
@@ -15,6 +30,57 @@ def knn_edges(vectors: DataFrame, degree: int) -> DataFrame:
     return found.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance")
 
 
+def knn_edges_in_cells(vectors: DataFrame, degree: int, bits: int = 8, nprobe: int = 8, chunk: int = 4096) -> DataFrame:
+    """As :func:`knn_edges`, approximately, for corpora too large to compare
+    each with all: ``src, dst, distance``.
+
+    Every vector lies in one cell of a coarse codebook and asks its ``nprobe``
+    nearest cells. A cell is cut into chunks of about ``chunk`` members, and so
+    are the askers of a chunk, so no task holds more than two chunks, however
+    large a cell is; each pair of chunks is one matrix product."""
+    book = quantize.train(vectors, 1, bits)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                order = np.argsort(quantize.squared(neighbours.matrix(part.column(1)), book.centroids[0]), axis=1, kind="stable")[:, :nprobe]
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, order.shape[1]), pa.int32()), pa.array(order.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], names=["id", "v", "cells"])
+
+    placed = vectors.select(F.col("id").cast("long"), F.col("v").cast("array<float>")).filter("v is not null")
+    placed = write_shared(placed.mapInArrow(near, "id long, v array<float>, cells array<int>"), "cells")
+    members = placed.select("id", "v", F.element_at("cells", 1).alias("cell"))
+    askers = placed.select("id", "v", F.explode("cells").alias("cell"))
+    sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("parts"))
+    asked = askers.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("slices"))
+    plan = F.broadcast(sizes.join(asked, "cell"))  # at most 256 cells
+    # ints on both sides: keys of another type would hash elsewhere
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    cut = F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int")
+    left = members.join(plan, "cell").select("cell", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("cut"), "id", "v")
+    right = askers.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), cut.alias("cut"), "id", "v")
+
+    def pairs(own: pa.Table, asking: pa.Table) -> pa.Table:
+        if not own.num_rows or not asking.num_rows:
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "distance": pa.array([], pa.float32())})
+        ids, src = own["id"].to_numpy(), asking["id"].to_numpy()
+        vs, qs = (neighbours.matrix(t["v"].combine_chunks()) for t in (own, asking))
+        out = []
+        for lo in range(0, len(src), 512):
+            d = neighbours.cosine(qs[lo : lo + 512], vs)
+            d[src[lo : lo + 512, None] == ids[None, :]] = np.inf
+            d, dst = neighbours.nearest(d, ids, degree)
+            fine = np.isfinite(d)
+            out.append((np.broadcast_to(src[lo : lo + 512, None], d.shape)[fine], dst[fine], d[fine]))
+        return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("src", "dst", "distance"), zip(*out))})
+
+    keys = ["cell", "part", "cut"]
+    found = left.groupBy(*keys).cogroup(right.toDF(*keys, "id", "v").groupBy(*keys)).applyInArrow(pairs, "src long, dst long, distance float")
+    w = Window.partitionBy("src").orderBy("distance", "dst")
+    return found.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= degree).select("src", "dst", "distance")
+
+
 def hubs(edges: DataFrame, nodes: DataFrame, ratio: float) -> DataFrame:
     """``id, degree, is_hub``: of the nodes by (in and out) degree, then id, the
     first ceil(ratio * N), at least one, are hubs; none if the ratio is 0.
@@ -85,7 +151,7 @@ def layers(vectors: DataFrame, degree: int, fanout: int = 16) -> DataFrame:
         members = levelled.filter(F.col("top") >= at).select("id", "v")
         if members.limit(1).count() == 0:
             break
-        edges = knn_edges(members, degree).select(
+        edges = edges_of(members, degree).select(
             F.lit(at).alias("level"), "src", F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst")).alias("ord"), "dst", "distance"
         )
         out = edges if out is None else out.union(edges)

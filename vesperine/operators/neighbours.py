@@ -24,7 +24,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _top(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k least of each row by (distance, id), in order."""
     order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
     return np.take_along_axis(distance, order, 1), ids[order] if ids.ndim == 1 else np.take_along_axis(ids, order, 1)
@@ -77,7 +77,7 @@ def _partial(ids: np.ndarray, q: np.ndarray, k: int, distances: Callable, exclud
                     d = np.where(ids[:, None] == found[None, :], np.float32(np.inf), d)
                 every = np.concatenate([best_d, d], axis=1)
                 names = np.concatenate([best_i, np.broadcast_to(found, d.shape)], axis=1)
-                best_d, best_i = _top(every, names, k)
+                best_d, best_i = nearest(every, names, k)
         keep = np.isfinite(best_d)
         row = np.nonzero(keep)[0]
         yield pa.RecordBatch.from_arrays(

@@ -15,10 +15,11 @@ from vesperine.operators import evaluate, graph, neighbours, quantize, search, s
 from vesperine.sources.storage import write_shared
 
 D = 64
-SKETCH_BITS = 128
-PARTS, BITS, PQ_ITERATIONS = 8, 4, 4
-DEGREE, LOW_DEGREE, HUB_RATIO = 8, 3, 0.02
-CONFIG = search.SearchConfig(top_k=10, ef_search=64, rerank_ratio=0.25)
+SKETCH_BITS, SHORTLIST = 512, 256
+PARTS, BITS, PQ_ITERATIONS = 32, 4, 4
+NPROBE = 12  # of 16 cells
+DEGREE, LOW_DEGREE, HUB_RATIO = 8, 6, 0.02
+CONFIG = search.SearchConfig(top_k=10, ef_search=128, rerank_ratio=0.25)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +117,8 @@ def simhash_hamming_topk(spark, sf_dir):
 
 
 def simhash_recall(spark, sf_dir):
-    """Recall@10 of an exact rerank of the 64 nearest sketches."""
-    found = search.rerank(_hamming(spark, sf_dir, 64), vectors(spark, sf_dir), asked(spark, sf_dir), 64, 10)
+    """Recall@10 of an exact rerank of the nearest sketches."""
+    found = search.rerank(_hamming(spark, sf_dir, SHORTLIST), vectors(spark, sf_dir), asked(spark, sf_dir), SHORTLIST, 10)
     out = evaluate.recall(found, _truth(spark, sf_dir), 10)
     return out.select("query_id", "found", F.round("recall", 6).alias("recall"))
 
@@ -180,6 +181,14 @@ def knn_graph_edges(spark, sf_dir):
     return _edges(spark, sf_dir).select("src", "dst", _rounded(F.col("distance")))
 
 
+def cell_graph_recall(spark, sf_dir):
+    """How many of each vector's true edges the graph built in cells has."""
+    rows = vectors(spark, sf_dir).select("id", "v")
+    cells = graph.knn_edges_in_cells(rows, 2 * DEGREE, bits=4, nprobe=NPROBE, chunk=128)
+    both = _edges(spark, sf_dir).select("src", "dst").join(cells.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")
+    return both.agg(F.count(F.lit(1)).alias("edges"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
+
+
 def graph_hubs(spark, sf_dir):
     return graph.hubs(_edges(spark, sf_dir), vectors(spark, sf_dir), HUB_RATIO)
 
@@ -220,7 +229,7 @@ def _walked(spark, sf_dir):
     base = write_shared(_graph(spark, sf_dir), "graph")
     upper = write_shared(graph.layers(rows, DEGREE), "layers")
     start = search.starts(search.route(upper, rows, queries, graph.entry_point(rows)), graph.seeds(rows), rows, queries)
-    return search.beam_search(base, rows, queries, start, 64, 10)
+    return search.beam_search(base, rows, queries, start, 192, 10)
 
 
 def graph_beam_search(spark, sf_dir):
@@ -239,7 +248,7 @@ def search_budget_metrics(spark, sf_dir):
 
 def _ivf(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return search.ivf_search(rows.select("id", "v"), asked(spark, sf_dir).select("query_id", "v"), _book_of(spark, sf_dir, 1, 4, 8), 10, 10)
+    return search.ivf_search(rows.select("id", "v"), asked(spark, sf_dir).select("query_id", "v"), _book_of(spark, sf_dir, 1, 4, 8), NPROBE, 10)
 
 
 def ivf_topk(spark, sf_dir):
@@ -257,7 +266,7 @@ def result_invariants(spark, sf_dir):
 
 def recall_summary(spark, sf_dir):
     """Micro-averaged recall at 10 and at 1 of the sketch search."""
-    found = write_shared(search.rerank(_hamming(spark, sf_dir, 64), vectors(spark, sf_dir), asked(spark, sf_dir), 64, 10), "found")
+    found = write_shared(search.rerank(_hamming(spark, sf_dir, SHORTLIST), vectors(spark, sf_dir), asked(spark, sf_dir), SHORTLIST, 10), "found")
     truth = write_shared(_truth(spark, sf_dir), "truth")
     parts = [
         evaluate.recall(found, truth, k).agg(F.lit(k).alias("k"), F.sum("found").alias("found"), F.round(F.avg("recall"), 6).alias("recall")) for k in (1, 10)
@@ -277,7 +286,7 @@ def embedding_parity(spark, sf_dir):
 QUERIES = (
     vector_norms, vector_normalize, cosine_pairs, squared_l2_pairs, knn_exact_topk, knn_label_agreement, ground_truth_long,
     ground_truth_rows, simhash_sketch, simhash_hamming_topk, simhash_recall, pq_codebook, pq_encode, pq_adc_topk, pq_rerank_topk,
-    pq_rerank_recall, pq_code_bytes, knn_graph_edges, graph_hubs, graph_pruned, graph_csr_offsets, graph_degree_stats, graph_khop,
+    pq_rerank_recall, pq_code_bytes, knn_graph_edges, cell_graph_recall, graph_hubs, graph_pruned, graph_csr_offsets, graph_degree_stats, graph_khop,
     graph_levels, graph_entry_point, graph_beam_search, graph_beam_recall, search_budget_metrics, ivf_topk, ivf_recall,
     result_invariants, recall_summary, embedding_parity,
 )
@@ -308,7 +317,7 @@ h AS (
     FROM w q, w e WHERE q.id % 100 = 0)),
 found AS (
   SELECT h.query_id, h.id, {_DIST} AS distance, row_number() OVER (PARTITION BY h.query_id ORDER BY {_DIST}, h.id) AS rank
-  FROM h JOIN embeddings q ON q.vec_id = h.query_id JOIN embeddings e ON e.vec_id = h.id WHERE h.rank <= 64)"""
+  FROM h JOIN embeddings q ON q.vec_id = h.query_id JOIN embeddings e ON e.vec_id = h.id WHERE h.rank <= {SHORTLIST})"""
 
 
 def _recall_sql(k: int) -> str:
@@ -354,7 +363,7 @@ _EXACT = f"""
 found AS (
   SELECT * FROM (
     SELECT h.query_id, h.id, {_DIST} AS distance, row_number() OVER (PARTITION BY h.query_id ORDER BY {_DIST}, h.id) AS rank
-    FROM adc h JOIN embeddings q ON q.vec_id = h.query_id JOIN embeddings e ON e.vec_id = h.id WHERE h.rank <= 64)
+    FROM adc h JOIN embeddings q ON q.vec_id = h.query_id JOIN embeddings e ON e.vec_id = h.id WHERE h.rank <= {CONFIG.ef_search})
   WHERE rank <= 10)"""
 _EDGES = f"""
 edges AS (
@@ -386,7 +395,7 @@ def oracles() -> dict[str, str]:
 cells AS (
   SELECT * FROM (
     SELECT y.vec_id AS query_id, centroid AS cell, row_number() OVER (PARTITION BY y.vec_id ORDER BY CAST(list_distance(y.v, CAST(b.c AS DOUBLE[])) ** 2 AS FLOAT), centroid) AS k
-    FROM y, book b WHERE y.vec_id % 100 = 0) WHERE k <= 10),
+    FROM y, book b WHERE y.vec_id % 100 = 0) WHERE k <= {NPROBE}),
 found AS (
   SELECT * FROM (
     SELECT query_id, e.vec_id AS id, {_DIST} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY {_DIST}, e.vec_id) AS rank
@@ -414,6 +423,13 @@ SELECT vec_id, CAST(len(e) AS INT) AS n, round(list_sum(list_transform(e, lambda
         "pq_rerank_recall": f"WITH {_TRUTH}, {_PQ}, {_ADC}, {_EXACT} {_recall_sql(10)}",
         "pq_code_bytes": f"SELECT count(*) AS n, count(*) * {PARTS * BITS // 8} AS code_bytes, CAST(sum(len(embedding) * 4) AS BIGINT) AS dense_bytes, round(count(*) * {PARTS * BITS // 8} * 100.0 / sum(len(embedding) * 4), 6) AS percent FROM embeddings",
         "knn_graph_edges": f"WITH {_EDGES} SELECT src, dst, round(CAST(distance AS DOUBLE), 5) + 0.0::DOUBLE AS distance FROM edges",
+        "cell_graph_recall": f"""WITH {_pq_sql(1, 4, 10)}, {_EDGES},
+near AS (SELECT * FROM (
+  SELECT y.vec_id, centroid AS cell, row_number() OVER (PARTITION BY y.vec_id ORDER BY CAST(list_distance(y.v, CAST(b.c AS DOUBLE[])) ** 2 AS FLOAT), centroid) AS k FROM y, book b) WHERE k <= {NPROBE}),
+cand AS (
+  SELECT n.vec_id AS src, e.vec_id AS dst, row_number() OVER (PARTITION BY n.vec_id ORDER BY {_DIST}, e.vec_id) AS k
+  FROM near n JOIN near m ON m.cell = n.cell AND m.k = 1 JOIN embeddings q ON q.vec_id = n.vec_id JOIN embeddings e ON e.vec_id = m.vec_id WHERE n.vec_id <> m.vec_id)
+SELECT count(*) AS edges, round(count(c.src) / count(*), 6) AS recall FROM edges LEFT JOIN (SELECT * FROM cand WHERE k <= {2 * DEGREE}) c USING (src, dst)""",
         "graph_hubs": f"WITH {_EDGES} SELECT id, degree, is_hub FROM hub",
         "graph_pruned": f"WITH {_EDGES} SELECT src, ord, dst FROM graph",
         "graph_csr_offsets": f"WITH {_EDGES}, n AS (SELECT vec_id AS id, count(src) AS n FROM embeddings LEFT JOIN graph ON src = vec_id GROUP BY vec_id) SELECT id, CAST(sum(n) OVER (ORDER BY id) AS BIGINT) - n AS begin, CAST(sum(n) OVER (ORDER BY id) AS BIGINT) AS \"end\" FROM n",
@@ -427,7 +443,7 @@ a AS (SELECT query_id, id, min(hop) AS hop FROM (FROM h0 UNION ALL FROM h1 UNION
 SELECT query_id, hop, count(*) AS nodes FROM a GROUP BY query_id, hop""",
         "graph_levels": f"SELECT {_LEVEL} AS level, count(*) AS nodes FROM embeddings GROUP BY 1",
         "graph_entry_point": f"SELECT vec_id AS id, {_LEVEL} AS level FROM embeddings ORDER BY level DESC, sha256('level-42:' || vec_id) LIMIT 1",
-        "search_budget_metrics": "SELECT count(*) AS n, least(64, count(*)) AS exact_budget, least(count(*), greatest(least(64, count(*)), CAST(ceil(least(64, count(*)) / 0.25) AS BIGINT))) AS beam, CAST(ceil(least(64, count(*)) / 16.0) AS BIGINT) AS batches FROM embeddings",
+        "search_budget_metrics": "SELECT count(*) AS n, least(128, count(*)) AS exact_budget, least(count(*), greatest(least(128, count(*)), CAST(ceil(least(128, count(*)) / 0.25) AS BIGINT))) AS beam, CAST(ceil(least(128, count(*)) / 16.0) AS BIGINT) AS batches FROM embeddings",
         "ivf_topk": f"WITH {ivf} {_SHOWN} FROM found",
         "ivf_recall": f"WITH {_TRUTH}, {ivf} {_recall_sql(10)}",
         "result_invariants": f"WITH {_TRUTH} SELECT query_id FROM truth GROUP BY query_id HAVING count(*) <> 10 OR count(DISTINCT id) <> 10 OR min(id) < 0 OR max(id) >= (SELECT count(*) FROM embeddings)",
