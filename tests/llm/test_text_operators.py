@@ -255,6 +255,9 @@ def test_chunk_dedup_removes_later_copies(spark):
         assert all(got[i].n_removed > 200 for i in range(1, 10))
         assert all(got[i].n_removed == 0 and got[i].kept_text == t for i, t in clean.items())
         assert got[40].n_bytes == got[41].n_bytes == 0
+    own = frame(spark, [(1, f"{passage} and {passage}", "s", "b"), (2, clean[20], "s", "b")])
+    assert [r.n_removed > 0 for r in chunk_dedup.chunk_dedup(own).orderBy("doc_id").collect()] == [False, False]
+    assert [r.n_removed > 0 for r in chunk_dedup.chunk_dedup(own, within=True).orderBy("doc_id").collect()] == [True, False]
 
 
 def slow_alignment(a, b):

@@ -3,8 +3,8 @@
 A gear rolling hash runs over the bytes of a text; a chunk ends where its high
 bits are zero, so a cut depends on the 32 bytes before it alone and an
 insertion moves no cut further on. Chunks are named by digest. Of equal chunks
-in the corpus the first (least document, then least offset) stays; the later
-ones are removed where they stand in a run of removed chunks long enough to be
+in the corpus those of the least document stay; those of later documents are
+removed where they stand in a run of removed chunks long enough to be
 a copied passage rather than a common phrase.
 
 Blocks of documents send their distinct digests to hash buckets, which answer
@@ -127,7 +127,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _OUT = "doc_id long, n_bytes long, n_chunks long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
 
 
-def _cut(docs: DataFrame, answers: DataFrame, n: int, passage: int) -> DataFrame:
+def _cut(docs: DataFrame, answers: DataFrame, n: int, passage: int, within: bool) -> DataFrame:
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         b = _Block(table) if table.num_rows else None
         out: list[tuple] = []
@@ -139,7 +139,8 @@ def _cut(docs: DataFrame, answers: DataFrame, n: int, passage: int) -> DataFrame
                     elsewhere[p] = np.unpackbits(np.frombuffer(bits[home].as_buffer(), np.uint8), count=len(p)).astype(bool)
             later = elsewhere[b.inverse] if len(b.keys) else np.zeros(0, bool)
             if len(b.keys):
-                later |= b.first[b.inverse] != np.arange(len(b.inverse))
+                first = b.first[b.inverse]
+                later |= (first != np.arange(len(first))) if within else b.ids[b.row[first]] != b.ids[b.row]
             chunk = np.searchsorted(b.row, np.arange(len(b.ids) + 1))
             for k, (a, z) in enumerate(zip(b.off[:-1].tolist(), b.off[1:].tolist())):
                 lo, hi = int(chunk[k]), int(chunk[k + 1])
@@ -173,17 +174,23 @@ def _whole(buf: np.ndarray, start: int, end: int) -> tuple[int, int]:
 
 
 def chunk_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, block_bytes: int = bl.BLOCK_BYTES
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    passage: int = PASSAGE,
+    within: bool = False,
+    block_bytes: int = bl.BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_chunks, n_removed, spans,
     kept_text``. ``spans`` are removed byte ranges, on character bounds.
 
     A copied passage loses all chunks that lie wholly inside it; up to about
-    a chunk stays at either end. A chunk that repeats inside its own document
-    is a later copy too. Null texts are empty and keep all; a null id is less
-    than all others; rows that repeat an id stand in text order, the first
-    staying. An empty table gives no rows.
+    a chunk stays at either end. A chunk that repeats only inside its own
+    document stays, unless ``within`` is set. A passage of one word repeated
+    has no cut of its own and may stay. Null texts are empty and keep all; a
+    null id is less than all others; rows that repeat an id count as one
+    document and remove nothing from each other. An empty table gives no rows.
     """
     rows, n = bl.blocked(docs, id_col, text_col, block_bytes)
-    out = _cut(rows, _answer(_ask(rows, n)), n, passage)
+    out = _cut(rows, _answer(_ask(rows, n)), n, passage, within)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(bl.NO_ID))).withColumnRenamed("doc_id", id_col)
