@@ -31,6 +31,7 @@ from vesperine.llm import blocks as bl
 from vesperine.llm import textbytes as tb
 
 ANCHOR = 25  # bytes of the substrings that name a window
+BLOCK_BYTES = 8 << 20  # a block's runs and segments take about 30 times its bytes
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -374,7 +375,7 @@ def _empty() -> pa.Table:
 
 
 def suffix_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = bl.BLOCK_BYTES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, spans, kept_text, kept_sha256``.
 
