@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from vesperine.plans import catalog
@@ -22,10 +23,10 @@ def duck():
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, (bool, np.bool_, int, np.integer)):
-        return int(value)
+        return float(value)  # a nullable long may come as a double
     return float(f"{value:.9g}") if isinstance(value, (float, np.floating)) else str(value)
 
 
