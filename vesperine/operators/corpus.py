@@ -11,8 +11,18 @@ from vesperine.functions import text as tx
 def prepared(docs: DataFrame, id_col: str, title: Column, text: Column, most: int, seed: str) -> DataFrame:
     """``id, prepared, raw_bytes, original_bytes, truncated, text_hash, rank_hash``;
     documents without usable text are left out."""
-    parts = tx.document_text(title, text, most)
-    out = docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in parts.items()]).filter("prepared is not null")
+    # one projection per step: each long text is cleaned once, not once per use
+    content = F.concat_ws(". ", F.nullif(tx.clean_line(title), F.lit("")), F.nullif(tx.clean_line(text), F.lit("")))
+    out = docs.select(F.col(id_col).alias("id"), content.alias("content"))
+    out = out.withColumn("original", F.concat(F.lit(tx.DOCUMENT_PREFIX), "content"))
+    out = out.withColumn("prepared", tx.truncate_utf8(F.col("original"), most)).select(
+        "id",
+        F.when(F.col("prepared").startswith(tx.DOCUMENT_PREFIX) & (F.col("content") != ""), F.col("prepared")).alias("prepared"),
+        F.octet_length("content").cast("long").alias("raw_bytes"),
+        F.octet_length("original").cast("long").alias("original_bytes"),
+        (F.octet_length("original") > most).alias("truncated"),
+    )
+    out = out.filter("prepared is not null")
     return out.withColumn("text_hash", F.sha2(F.col("prepared").cast("binary"), 256)).withColumn("rank_hash", tx.rank_hash(seed, F.col("id")))
 
 
