@@ -70,6 +70,22 @@ def test_suffix_dedup_on_documents(spark):
     assert got == brute_suffix([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("block_bytes", [400, 1 << 22])
+def test_suffix_dedup_cuts_every_place_in_a_document(spark, block_bytes):
+    """Passages once in an earlier document and twice in a later one, in the
+    same line there, so that the runs at their ends are equal to each other but
+    not to the earlier document's."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for k, n in enumerate([50, 52, 56, 60, 64, 70, 75, 90, 140]):
+        passage, line = text(n), (text(60), text(60))
+        rows.append((2 * k, text(80) + passage + text(80)))
+        rows.append((2 * k + 1, text(70) + line[0] + passage + line[1] + text(90) + line[0] + passage + line[1] + text(40)))
+    got = suffix_rows(suffix_dedup.suffix_dedup(frame(spark, [(*r, "s", "b") for r in rows]), block_bytes=block_bytes))
+    assert got == brute_suffix(rows)
+
+
 def test_longest_previous_factors():
     rng = random.Random(3)
     texts = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(12)]

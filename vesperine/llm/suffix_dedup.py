@@ -288,30 +288,32 @@ def _decide(sent: DataFrame, length: int) -> DataFrame:
         for r, (name, blob) in enumerate(zip(head["name"].tolist(), blobs)):
             groups.setdefault(name, {}).setdefault(blob, []).append(r)
         out: list[tuple] = []
-        hold: list[tuple[list[bytes], list[int]]] = []
+        hold: list[tuple[list[bytes], list[list[int]]]] = []
         held = 0
 
         def flush() -> None:
             # several names in one suffix order: a window has one name, so
             # suffixes of different names have no common window
             texts = [t for ts, _ in hold for t in ts]
-            reps = [r for _, rs in hold for r in rs]
+            places = [rs for _, every in hold for rs in every]
+            reps = [rs[0] for rs in places]
             found = longest_previous(texts, head["doc"][reps], length, head["count"][reps].astype(np.int64).tolist())
-            for r, lpf in zip(reps, found):
+            for rs, lpf in zip(places, found):
                 hit = np.flatnonzero(np.diff(np.concatenate(([0], lpf >= length, [0])).astype(np.int8)))
-                out.extend((r, a, b - a) for a, b in zip(hit[::2].tolist(), hit[1::2].tolist()))
+                out.extend((r, a, b - a) for a, b in zip(hit[::2].tolist(), hit[1::2].tolist()) for r in rs)
             hold.clear()
 
         for group in groups.values():
-            texts, reps = [], []
+            texts, places = [], []
             for text, rows in group.items():
-                least = min(rows, key=lambda r: (head["doc"][r], head["first"][r]))
-                out.extend((r, 0, int(head["count"][r])) for r in rows if head["doc"][r] > head["doc"][least])
+                least = min(head["doc"][r] for r in rows)
+                out.extend((r, 0, int(head["count"][r])) for r in rows if head["doc"][r] > least)
                 texts.append(text)
-                reps.append(least)
+                # every place in the least document: what an earlier one has goes at each
+                places.append([r for r in rows if head["doc"][r] == least])
             if len(texts) > 1:
-                hold.append((texts, reps))
-                held += int(head["count"][reps].sum())
+                hold.append((texts, places))
+                held += sum(int(head["count"][rs[0]]) for rs in places)
                 if held > 200_000:
                     flush()
                     held = 0
