@@ -318,6 +318,48 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).collect() == []
 
 
+def test_decontamination_finds_every_edit_beside_exact_copies(spark):
+    """Every text that shares three words in a row with an item and scores 0.5
+    or more, with the score of the whole text's alignment, though the exact
+    copies make the edited one's n-grams the item's commonest."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [text(rng.choice((20, 39))) for _ in range(120)]
+    rows = []
+    for item in items:
+        edited = []
+        for w in item:
+            u = rng.random()
+            edited += [w] if u > 0.3 else text(1) if u > 0.05 else [] if u > 0.02 else [w, *text(5)]
+        rows += [text(30) + item + text(30), text(30) + edited + text(30)]
+    grams = lambda t: {tuple(t[k : k + 3]) for k in range(len(t) - 2)}
+    seeds = [grams(t) for t in items]
+    want = {}
+    for d, row in enumerate(rows):
+        own = grams(row)
+        for k, item in enumerate(items):
+            if own & seeds[k] and (s := slow_alignment(item, row) / (2 * len(item))) >= 0.5:
+                want[d, k] = s
+    docs = frame(spark, [(d, " ".join(r), "s", "b") for d, r in enumerate(rows)])
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, bench).collect()}
+    assert len(want) > 160 and got == want
+
+
+def test_hit_pairs_come_in_parts_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    seeds = decontaminate.Seeds(rng.integers(1, 4, 40).astype(np.uint64), np.array([0, 2, 20, 40]), 3)
+    h, first = rng.integers(1, 4, 200).astype(np.uint64), np.array([0, 50, 52, 120, 200])
+    (whole,) = seeds.pairs(h, first)
+    for most in (1, 50, 500):
+        monkeypatch.setattr(decontaminate, "PAIRS", most)
+        parts = list(seeds.pairs(h, first))
+        assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*parts), whole))
+        assert all(a[1][-1] < b[1][0] for a, b in zip(parts, parts[1:]))
+    assert len(list(seeds.pairs(h[:0], np.array([0])))) == 0
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     extra = spark.createDataFrame([(10**6, None, "en"), (10**6 + 1, "", None), (10**6 + 2, "123 ... 45", "fr"), (10**6 + 3, "été", None)], docs.schema)

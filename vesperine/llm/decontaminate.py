@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
-Every n-gram of a test item is counted over all documents; of an item's n-grams
-that occur at all, the rarest three quarters are its seeds, so every item keeps
-seeds however often it leaked. Seed hits on neighbouring diagonals make a
-passage, and a local alignment of the passage with the item scores it, so that
-paraphrased or edited copies are found too.
+Every n-gram of a test item is a seed, however common: those that survive an
+edit may be the item's commonest. Seed hits on neighbouring diagonals make a
+passage; one that holds too few of the item's words to reach the threshold is
+left, and a local alignment of the others with the item scores them, so that
+paraphrased or edited copies are found too. A copy needs one n-gram unedited.
 
 The benchmark is sent to the executors in shards of a bounded size; a larger
 benchmark is searched for shard by shard.
@@ -24,6 +24,7 @@ from vesperine.llm.common import parts_for, text_bytes, without
 
 SHARD_BYTES = 8 << 20  # of test items sent to the executors at once
 MATCH, MISMATCH, GAP = 2, -1, -1
+PAIRS = 2_000_000  # of seed hits and items looked at together
 _BITS = 22
 
 
@@ -62,11 +63,6 @@ class Seeds:
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[self.keys & np.uint64((1 << _BITS) - 1)] = True
 
-    def only(self, rare: np.ndarray) -> Seeds:
-        self.item, self.at = self.item[rare], self.at[rare]
-        self.set(self.flat[rare])
-        return self
-
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word position, text, seed) of every seed in the texts."""
         pos, doc, seed = [], [], []
@@ -82,7 +78,26 @@ class Seeds:
             pos.append(at[inside]), doc.append(owner[inside]), seed.append(k[inside])
         if not pos:
             return (np.zeros(0, np.int64),) * 3
-        return np.concatenate(pos), np.concatenate(doc), np.concatenate(seed)
+        pos, doc, seed = np.concatenate(pos), np.concatenate(doc), np.concatenate(seed)
+        order = np.argsort(doc, kind="stable")
+        return pos[order], doc[order], seed[order]
+
+    def pairs(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(word position, text, item, offset in the item) of every hit, in
+        parts that hold whole texts."""
+        pos, doc, seed = self.hits(h, first)
+        n = self.end[seed] - self.begin[seed]
+        total = np.concatenate(([0], np.cumsum(n)))
+        lo = 0
+        while lo < len(doc):
+            hi = max(int(np.searchsorted(total, total[lo] + PAIRS, side="right")) - 1, lo + 1)
+            if hi < len(doc):  # not within a text, unless it alone is larger
+                back = int(np.searchsorted(doc, doc[hi]))
+                hi = back if back > lo else int(np.searchsorted(doc, doc[hi], side="right"))
+            m = n[lo:hi]
+            which = np.repeat(self.begin[seed[lo:hi]] - (total[lo:hi] - total[lo]), m) + np.arange(total[hi] - total[lo])
+            yield np.repeat(pos[lo:hi], m), np.repeat(doc[lo:hi], m), self.item[which], self.at[which]
+            lo = hi
 
 
 def smith_waterman(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +122,14 @@ def smith_waterman(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray,
     return best, end
 
 
-def _windows(pos: np.ndarray, doc: np.ndarray, item: np.ndarray, at: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, int]]:
+def _windows(pos: np.ndarray, doc: np.ndarray, item: np.ndarray, at: np.ndarray, length: np.ndarray, threshold: float) -> list[tuple[int, int, int, int]]:
     """Passages (text, item, first word, last word): hits of one item in one
-    text whose diagonals are neighbours share one."""
+    text whose diagonals are neighbours share one. An alignment that reaches
+    the threshold leaves a seed's diagonal by the gaps it can afford at most."""
     diag = pos - at
     order = np.lexsort((diag, item, doc))
     doc, item, diag = doc[order], item[order], diag[order]
-    slack = np.maximum(8, length[item] // 2)
+    slack = np.maximum(8, np.ceil(MATCH * (1 - threshold) * length[item] / -GAP).astype(np.int64))
     fresh = np.ones(len(doc), dtype=bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > slack[1:])
     cuts = np.append(np.flatnonzero(fresh), len(doc))
@@ -122,8 +138,8 @@ def _windows(pos: np.ndarray, doc: np.ndarray, item: np.ndarray, at: np.ndarray,
     return list(zip(doc[a].tolist(), item[a].tolist(), (diag[a] - slack[a]).tolist(), (diag[last] + length[item[a]] + slack[a]).tolist()))
 
 
-def _spread(texts: DataFrame, seeds, count: bool, ids: list[int], words: np.ndarray, first: np.ndarray, threshold: float) -> DataFrame:
-    """One pass over the documents, counting seeds or aligning passages."""
+def _spread(texts: DataFrame, seeds: Seeds, ids: list[int], words: np.ndarray, first: np.ndarray, threshold: float) -> DataFrame:
+    """One pass over the documents, aligning passages."""
     length = np.diff(first)
 
     def tokens(batch: pa.RecordBatch):
@@ -133,27 +149,14 @@ def _spread(texts: DataFrame, seeds, count: bool, ids: list[int], words: np.ndar
             starts, ends, f = tb.words(part, o, tb.ALNUM)
             yield i, part, o, starts, ends, f, tb.word_hashes(part, starts, ends)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(seeds.keys), np.int64)
-        for batch in batches:
-            for *_, f, h in tokens(batch):
-                _, doc, seed = seeds.hits(h, f)
-                both = np.unique(doc * len(total) + seed)
-                total += np.bincount(both % len(total), minlength=len(total)) if len(total) else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
-
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for i, part, o, starts, ends, f, h in tokens(batch):
-                pos, doc, seed = seeds.hits(h, f)
-                n = seeds.end[seed] - seeds.begin[seed]
-                which = np.repeat(seeds.begin[seed] - np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64), n) + np.arange(n.sum())
-                pos, doc = np.repeat(pos, n), np.repeat(doc, n)
                 by_item: dict[int, list] = {}
-                for d, it, a, b in _windows(pos, doc, seeds.item[which], seeds.at[which], length):
-                    by_item.setdefault(it, []).append((d, max(a, int(f[d])), min(b, int(f[d + 1]))))
+                for pos, doc, item, at in seeds.pairs(h, f):
+                    for d, it, a, b in _windows(pos, doc, item, at, length, threshold):
+                        by_item.setdefault(it, []).append((d, max(a, int(f[d])), min(b, int(f[d + 1]))))
                 for it, spans in by_item.items():
                     out += [(ids[it], i + d, s, *where(part, o, starts, ends, d, a, b)) for d, s, a, b in scored(it, spans, h)]
             best: dict[tuple, tuple] = {}
@@ -185,13 +188,16 @@ def _spread(texts: DataFrame, seeds, count: bool, ids: list[int], words: np.ndar
                 block = np.zeros((len(some), wide), np.uint64)  # 0 pads: it is no item's word
                 for r, (_, a, b) in enumerate(some):
                     block[r, : b - a] = h[a:b]
-                best, end = smith_waterman(item, block)
-                for r in np.flatnonzero(best >= need):
+                # every match needs one of the item's words in the passage
+                likely = np.flatnonzero(MATCH * np.isin(block, item).sum(axis=1) >= need)
+                best, end = smith_waterman(item, block[likely])
+                for hit in np.flatnonzero(best >= need):
+                    r = likely[hit]
                     d, a, b = some[r]
-                    stop = min(a + int(end[r]), b)
+                    stop = min(a + int(end[hit]), b)
                     # the same alignment from its end gives where it begins
                     _, back = smith_waterman(item[::-1], np.ascontiguousarray(block[r : r + 1, : stop - a][:, ::-1]))
-                    yield d, float(best[r]) / (MATCH * len(item)), stop - int(back[0]), stop
+                    yield d, float(best[hit]) / (MATCH * len(item)), stop - int(back[0]), stop
 
     def where(part, o, starts, ends, d: int, a: int, b: int) -> tuple[int, int]:
         """Code point offsets of words a to b of text d."""
@@ -199,20 +205,9 @@ def _spread(texts: DataFrame, seeds, count: bool, ids: list[int], words: np.ndar
         lead = (part[begin : ends[b - 1]] & 0xC0) != 0x80
         return int(lead[: starts[a] - begin].sum()), int(lead.sum())
 
-    if count:
-        return texts.mapInArrow(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     return texts.mapInArrow(aligned, "doc_id long, item_id long, score double, start long, end long")
 
 
-def _quantile(count: np.ndarray, item: np.ndarray, n: int, part: float) -> np.ndarray:
-    """The quantile of each item's positive counts (0 if it has none)."""
-    count, item = count[count > 0], item[count > 0]
-    order = np.lexsort((count, item))
-    size = np.bincount(item, minlength=n)
-    at = np.cumsum(size) - size + np.maximum(np.ceil(part * size).astype(np.int64) - 1, 0)
-    return np.where(size > 0, count[order][np.minimum(at, len(count) - 1)], 0) if len(count) else np.zeros(n, np.int64)
-
-
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -221,7 +216,6 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     size: int = 3,
-    rare: float = 0.75,
     threshold: float = 0.5,
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
@@ -245,14 +239,7 @@ def contaminated(
         seeds = Seeds(words, first, size)
         if not len(seeds.keys):
             continue
-        df = np.zeros(len(seeds.keys), np.int64)
-        for seed, n in _spread(texts, seeds, True, ids, words, first, threshold).collect():
-            df[seed] = n
-        each = np.repeat(df, seeds.end - seeds.begin)
-        seeds.only((each > 0) & (each <= _quantile(each, seeds.item, len(ids), rare)[seeds.item]))
-        if not len(seeds.keys):
-            continue
-        found = _spread(texts, seeds, False, ids, words, first, threshold)
+        found = _spread(texts, seeds, ids, words, first, threshold)
         out = found if out is None else out.union(found)
     if out is None:
         spark = docs.sparkSession
