@@ -276,6 +276,22 @@ def test_chunk_dedup_removes_later_copies(spark):
     assert [r.n_removed > 0 for r in chunk_dedup.chunk_dedup(own, within=True).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_chunk_dedup_catches_passages_over_fifty_words(spark):
+    """Passages of 51 words, each once in an earlier document and once, between
+    other words, in a later one: nearly all go, and with nearly all bytes."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 10))) for _ in range(n))
+    passages = [text(51) for _ in range(400)]
+    rows = [(k, f"{text(40)} {p} {text(40)}") for k, p in enumerate(passages)] + [(400 + k, f"{text(40)} {p} {text(40)}") for k, p in enumerate(passages)]
+    for block_bytes in (60_000, 1 << 22):
+        got = {r.doc_id: r for r in chunk_dedup.chunk_dedup(frame(spark, [(*r, "s", "b") for r in rows]), block_bytes=block_bytes).collect()}
+        assert all(got[k].n_removed == 0 for k in range(400))
+        share = [got[400 + k].n_removed / len(p) for k, p in enumerate(passages)]
+        assert sum(x > 0.99 for x in share) >= 396 and np.mean(share) > 0.99
+        assert all(len(p) <= got[400 + k].n_removed <= len(p) + 12 for k, p in enumerate(passages) if share[k])
+
+
 def slow_alignment(a, b):
     best, prev = 0, [0] * (len(b) + 1)
     for x in a:
