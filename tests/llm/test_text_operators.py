@@ -239,6 +239,64 @@ def test_context_tree_is_a_distribution_and_equals_recursion():
         assert abs(model.logp[model.row[ctx], s] - want) < 1e-3
 
 
+def test_real_contexts_equal_recursion_and_sum_to_one():
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"ab ") for _ in range(50)) for _ in range(8)] + ["жзж ззж".encode() * 4]
+    off = np.cumsum([0] + [len(t) for t in texts])
+    events = ctw._deep_events(np.frombuffer(b"".join(texts), np.uint8), off)
+    flat = [bytes([0xFF] * 6) + t + b"\xff" for t in texts]
+    want = [(t[k - 6 : k][::-1] + t[k : k + 1]) for t in flat for k in range(6, len(t))]
+    assert [int(e).to_bytes(7, "big") for e in events] == want
+    counts = Counter(want)
+    contexts = sorted({w[:6] for w in want} | {b"zzzzzz", want[3][:5] + b"z"})
+    cells = np.array(sorted(int.from_bytes(c + bytes([x]), "big") for c in contexts for x in range(256)), np.uint64)
+    q = {x: (x % 5 + 1) / sum(y % 5 + 1 for y in range(256)) for x in range(256)}
+    prior = np.array([q[int(c) & 255] for c in cells])
+    got = ctw.deep_predict(cells, np.array([counts[int(c).to_bytes(7, "big")] for c in cells], float), prior)
+    assert np.allclose(got.reshape(-1, 256).sum(axis=1), 1)
+
+    def node(ctx):
+        c = Counter()
+        for w, k in counts.items():
+            if w.startswith(ctx):
+                c[w[6]] += k
+        return c
+
+    def weighted(ctx):
+        own, seen = 1.0, 0
+        c = node(ctx)
+        for x, k in c.items():
+            for j in range(k):
+                own *= (j + q[x]) / (seen + 1)
+                seen += 1
+        if len(ctx) == 6:
+            return own, own
+        below = 1.0
+        for child in {w[: len(ctx) + 1] for w in counts if w.startswith(ctx)}:
+            below *= weighted(child)[0]
+        return 0.5 * own + 0.5 * below, own
+
+    def predict(ctx, x, depth=4):
+        c = node(ctx[:depth])
+        p = (c[x] + q[x]) / (sum(c.values()) + 1)
+        if depth == 6:
+            return p
+        total, own = weighted(ctx[:depth])
+        return 0.5 * own / total * p + (1 - 0.5 * own / total) * predict(ctx, x, depth + 1)
+
+    for k in range(0, len(cells), 97):
+        raw = int(cells[k]).to_bytes(7, "big")
+        assert got[k] == pytest.approx(predict(raw[:6], raw[6]), rel=1e-6)
+
+
+def test_context_tree_grows_beyond_byte_classes(spark):
+    """Digits share a class and so did texts that differ in them only; a model
+    of real bytes learns which follows which."""
+    rows = [(i, " ".join(str((i + k) % 10) * 7 for k in range(60)), "s", "b") for i in range(60)]
+    held = [r.bits_per_byte for r in ctw.score(frame(spark, rows), block_bytes=6_000).filter("held_out").collect()]
+    assert len(held) > 3 and max(held) < 0.7
+
+
 def test_context_tree_beats_uniform_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = [r.bits_per_byte for r in ctw.score(docs).filter("held_out and n_bytes > 500").collect()]
