@@ -315,3 +315,14 @@ def test_measurement_joins(spark):
     assert evaluate.missing(grid, grid.limit(1)).count() == 1
     both = ts.union_of_keys([grid, grid.select("s").withColumn("w", F.lit(1))])
     assert both.columns == ["s", "v", "w"] and both.count() == 4
+
+
+def test_cell_edges_reach_their_recall_with_the_defaults(spark):
+    x = np.random.default_rng(7).standard_normal((3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    got = {(r.src, r.dst) for r in graph.knn_edges_in_cells(rows, 8).filter("src % 100 = 0").collect()}
+    near = x[::100] @ x.T
+    near[np.arange(30), np.arange(30) * 100] = -2
+    true = {(100 * k, int(j)) for k, row in enumerate(np.argsort(-near, axis=1)[:, :8]) for j in row}
+    assert len(got & true) >= 0.9 * len(true)

@@ -30,12 +30,12 @@ def knn_edges(vectors: DataFrame, degree: int) -> DataFrame:
     return found.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance")
 
 
-def knn_edges_in_cells(vectors: DataFrame, degree: int, bits: int = 8, nprobe: int = 8, chunk: int = 4096) -> DataFrame:
+def knn_edges_in_cells(vectors: DataFrame, degree: int, bits: int = 8, nprobe: int = 128, chunk: int = 4096) -> DataFrame:
     """As :func:`knn_edges`, approximately, for corpora too large to compare
     each with all: ``src, dst, distance``.
 
     Every vector lies in one cell of a coarse codebook and asks its ``nprobe``
-    nearest cells. A cell is cut into chunks of about ``chunk`` members, and so
+    nearest cells; fewer than half of them lose more than a tenth of the edges. A cell is cut into chunks of about ``chunk`` members, and so
     are the askers of a chunk, so no task holds more than two chunks, however
     large a cell is; each pair of chunks is one matrix product."""
     book = quantize.train(vectors, 1, bits)
