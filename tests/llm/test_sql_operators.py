@@ -142,6 +142,19 @@ def test_archives_round_trip(spark, fixture, tmp_path):
         list(warc.read_archive(files[0].read_bytes()[:-3]))
 
 
+def test_each_secret_rule_at_exactly_its_least_length(spark):
+    shortest = {
+        "assign": "token=" + "z" * 8, "access": "AKIA" + "Z" * 12, "hex": "0" * 32, "github": "ghp_" + "Z" * 36, "slack": "xoxb-" + "Z" * 15,
+        "jwt": "eyJZ.eyJZ." + "Z" * 30, "pem": "-----BEGIN PRIVATE KEY-----", "bearer": "bearer " + "z" * 20,
+    }
+    assert list(shortest) == [rule.kind for rule in secrets.RULES]
+    rows = [(k, t) for k, t in enumerate(shortest.values())] + [(100 + k, t[:-1]) for k, t in enumerate(shortest.values())]
+    paths, _ = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in paths.collect()}
+    for k, (kind, text) in enumerate(shortest.items()):
+        assert got[k] == [(kind, 0, len(text))] and got[100 + k] == [], kind
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline
 

@@ -9,6 +9,7 @@ expressions.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +52,8 @@ def _long_enough(rule: Rule) -> str:
     fixed = rule.pattern[: rule.pattern.rindex("[")]
     if any(c in fixed for c in "+*?.("):
         return rule.pattern
-    return f"{rule.pattern[:-1]}{{{rule.least - (4 if fixed else 0)},}}"
+    length = len(re.sub(r"\[[^]]*\]", "x", fixed))  # a class is one character
+    return f"{rule.pattern[:-1]}{{{rule.least - length},}}"
 
 
 def find(text: Column, rule: Rule, rank: int) -> Column:
