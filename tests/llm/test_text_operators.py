@@ -86,11 +86,30 @@ def test_suffix_dedup_cuts_every_place_in_a_document(spark, block_bytes):
     assert got == brute_suffix(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_suffix_dedup_of_a_passage_in_many_surroundings(spark, hot):
+    """The names at a common passage's edges are hot: their windows are spread."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    passage, word = text(120), "ab " * 400
+    rows = [(k, text(rng.randrange(90)) + passage + text(rng.randrange(90))) for k in range(60)]
+    rows += [(60, word), (61, word + text(60)), (61, passage + text(30) + passage), (None, passage[5:100] + text(9))]
+    found = suffix_dedup.suffix_dedup(frame(spark, [(*r, "s", "b") for r in rows]), block_bytes=2000, hot=hot).collect()
+    least = {None: -(2**63)}  # a null id is less than all others
+    twins = [r for r in rows if r[0] == 61]  # rows of one id remove nothing from each other
+    want = [brute_suffix([(least.get(i, i), t) for i, t in rows if (i, t) != twin]) for twin in twins]
+    for r in found:
+        got = (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256)
+        assert got in [w[least.get(r.doc_id, r.doc_id)] for w in want]
+    assert len(found) == len(rows)
+
+
 def test_longest_previous_factors():
     rng = random.Random(3)
     texts = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(12)]
     docs = np.array([rng.randrange(6) for _ in texts])
-    found = suffix_dedup.longest_previous(texts, docs, 12, [29] * 12)
+    buf, need = np.frombuffer(b"".join(texts), np.uint8), np.full(12, 29)
+    found = np.split(suffix_dedup.longest_previous(buf, np.arange(12) * 40, need, docs, 12), 12)
     for i, (t, lpf) in enumerate(zip(texts, found)):
         for p in range(29):
             want = 0

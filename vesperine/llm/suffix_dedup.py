@@ -7,9 +7,12 @@ in a document with a smaller id. Three steps find such strings exactly:
    substrings in it, so equal windows have equal names, and neighbouring windows
    mostly share one: a text becomes runs of windows, two for every 13 bytes.
    Blocks of documents send the names to hash buckets, which answer which names
-   stand in more than one document.
+   stand in more than one document, and which are hot: have more different runs
+   than one bucket is to hold, as at the edges of a very common passage.
 2. Runs of such names travel, with their text, to the name's bucket. Equal runs
-   are combined inside the block, then in the bucket, to the least document.
+   are combined inside the block, then in the bucket, to the least document. A
+   hot name's windows are named anew, each by all its bytes, and so are spread
+   over all buckets.
 3. In the bucket, the different runs of one name are put in suffix order. The
    previous and next suffixes of a smaller document, and the least common
    prefixes on the way to them, give each suffix its longest previous factor:
@@ -31,7 +34,10 @@ from vesperine.llm import blocks as bl
 from vesperine.llm import textbytes as tb
 
 ANCHOR = 25  # bytes of the substrings that name a window
-BLOCK_BYTES = 8 << 20  # a block's runs and segments take about 30 times its bytes
+BLOCK_BYTES = 8 << 20  # a block's runs and segments take about 20 times its bytes
+RUN = 64  # windows of a run; a longer one (of a periodic text) is cut
+HOT = 4096  # different runs of one name that a bucket puts in one suffix order
+BATCH = 100_000  # windows put in suffix order at once (a name of more stands alone)
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -88,9 +94,19 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int, anchor: int) -> tuple[np
     count = np.diff(np.append(first, len(name)))
     ok = good[first]
     first, count = first[ok], count[ok]
+    parts = -(-count // RUN)
+    if len(parts) and parts.max() > 1:
+        which, k = _expanded(parts)
+        first, count = first[which] + k * RUN, np.minimum(count[which] - k * RUN, RUN)
     return name[first], np.searchsorted(off, first, side="right") - 1, first, count
 
 
+def _expanded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, k) of every k below n[i], in order."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def smaller_neighbours(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """The longest previous factor of each suffix, in suffix order.
 
@@ -125,29 +141,41 @@ def smaller_neighbours(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return best
 
 
-def longest_previous(texts: list[bytes], docs: np.ndarray, length: int, need: list[int]) -> list[np.ndarray]:
-    """For each text, the longest previous factor, up to ``length``, of its
-    first ``need[i]`` suffixes: the longest prefix that also starts one of the
-    given suffixes of a smaller document."""
-    n = sum(need)
-    width = -(-length // 8) * 8
-    wide = np.zeros((n, width), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), need)
-    k = 0
-    for text, m in zip(texts, need):
-        raw = np.frombuffer(text, np.uint8)
-        wide[k : k + m, :length] = np.lib.stride_tricks.sliding_window_view(raw, length)[:m]
-        k += m
-    words = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
-    sorted_bytes = wide[order]
-    differ = sorted_bytes[1:, :length] != sorted_bytes[:-1, :length]
+def longest_previous(buf: np.ndarray, start: np.ndarray, need: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For each text, which begins at ``start[i]`` of the buffer, the longest
+    previous factor, up to ``length``, of its first ``need[i]`` suffixes: the
+    longest prefix that also starts one of the given suffixes of a smaller
+    document."""
+    owner, k = _expanded(need)
+    n = len(owner)
+    windows = np.lib.stride_tricks.sliding_window_view(buf, length)[start[owner] + k]
+    order = np.argsort(windows.view(f"S{length}").ravel(), kind="stable")  # all of one length, so padding changes no order
+    windows = windows[order]
+    differ = windows[1:] != windows[:-1]
     lcp = np.zeros(n, np.int32)
     lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
     rank = np.unique(docs, return_inverse=True)[1].astype(np.int32)
     found = np.empty(n, np.int32)
     found[order] = smaller_neighbours(rank[owner[order]], lcp)
-    return np.split(found, np.cumsum(need)[:-1])
+    return found
+
+
+def merged(name: np.ndarray, buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each named piece of the buffer (in order of place) the first piece of
+    the same name and bytes. Pieces are told apart by hashes and then compared;
+    one whose bytes differ from its hash's first piece stands for itself."""
+    ident = tb.mix(tb.word_hashes(buf, first, first + size) ^ name)
+    _, at, inverse = np.unique(ident, return_index=True, return_inverse=True)
+    least = at[inverse]
+    later = np.flatnonzero(least != np.arange(len(least)))
+    for i in range(0, len(later), 1 << 16):
+        mine = later[i : i + (1 << 16)]
+        rep = least[mine]
+        bad = size[mine] != size[rep]
+        which, k = _expanded(np.where(bad, 0, size[mine]))
+        bad |= np.bincount(which[buf[first[mine][which] + k] != buf[first[rep][which] + k]], minlength=len(mine)) > 0
+        least[mine[bad]] = mine[bad]
+    return least
 
 
 class _Block:
@@ -171,16 +199,23 @@ class _Block:
         np.minimum.at(self.low, self.inverse, self.doc)
         np.maximum.at(self.high, self.inverse, self.doc)
 
+    def weights(self, length: int) -> np.ndarray:
+        """How many different runs each name has."""
+        ident = tb.word_hashes(self.buf, self.first, self.first + self.count + length - 1) ^ self.name
+        one = np.unique(ident, return_index=True)[1]
+        return np.bincount(self.inverse[one], minlength=len(self.keys))
+
 
 def _ask(docs: DataFrame, n: int, length: int, anchor: int) -> DataFrame:
-    """Each block's names, 32 bits each within a bucket: a chance agreement
-    only costs a look at text."""
+    """Each block's names, 32 bits each within a bucket (a chance agreement
+    only costs a look at text), and how many different runs each has."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        keys = _Block(table, length, anchor).keys
-        out = [(b, keys[p]) for b, p in bl.buckets(keys, n)]
-        return bl.message([b for b, _ in out], [block] * len(out), [_short(k).tobytes() for _, k in out])
+        b = _Block(table, length, anchor)
+        weight = b.weights(length).clip(max=65535).astype(np.uint16)
+        out = [(home, _short(b.keys[p]).tobytes() + weight[p].tobytes()) for home, p in bl.buckets(b.keys, n)]
+        return bl.message([home for home, _ in out], [block] * len(out), [data for _, data in out])
 
     return docs.groupBy("block").applyInArrow(run, bl.MESSAGE)
 
@@ -189,20 +224,29 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(13)).astype(np.uint32)
 
 
-def _answer(asked: DataFrame) -> DataFrame:
-    """Which of each block's names another block also has: one bit each."""
+def _answer(asked: DataFrame, hot: int) -> DataFrame:
+    """Which of each block's names another block also has, and which of those
+    are hot: two bits each."""
 
     def run(table: pa.Table) -> pa.Table:
-        data = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["data"]]
-        every = np.sort(np.concatenate([np.unique(x) for x in data]))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = [np.packbits(np.isin(x, shared)).tobytes() for x in data]
+        raw = [x.as_buffer() for x in table["data"]]
+        size = [x.size // 6 for x in raw]
+        keys = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(raw, size)])
+        weight = np.concatenate([np.frombuffer(x, np.uint16, offset=4 * k) for x, k in zip(raw, size)])
+        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        shared = (count > 1)[inverse]
+        heavy = (np.bincount(inverse, weights=weight) > hot)[inverse]
+        ends = np.cumsum(size)[:-1]
+        bits = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared, ends), np.split(heavy, ends))]
         return pa.table([table["bucket"], table["block"], pa.array(bits, pa.binary())], names=["bucket", "block", "data"])
 
     return asked.groupBy("bucket").applyInArrow(run, bl.MESSAGE)
 
 
-_ROW = np.dtype([("name", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("first", "<u4"), ("count", "<u4")])
+# A message: counts of texts and rows, the texts' names, documents and windows,
+# the rows, the texts' bytes. All of a text's rows are of its document.
+_TEXT = np.dtype([("name", "<u8"), ("doc", "<i8"), ("count", "<u4")])
+_ROW = np.dtype([("text", "<u4"), ("row", "<u4"), ("first", "<u4")])
 
 
 def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int) -> DataFrame:
@@ -214,44 +258,43 @@ def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int)
             return bl.message([], [], [])
         block = table["block"][0].as_py()
         b = _Block(table, length, anchor)
-        shared = b.high > b.low
+        shared, hot = b.high > b.low, np.zeros(len(b.keys), dtype=bool)
         bits = dict(zip(told["bucket"].to_pylist(), told["data"]))
         for home, p in bl.buckets(b.keys, n):
             if home in bits:
-                shared[p] |= np.unpackbits(np.frombuffer(bits[home].as_buffer(), np.uint8), count=len(p)).astype(bool)
-        some = np.flatnonzero(shared[b.inverse])
-        if not len(some):
-            return bl.message([], [], [])
-        first, count = b.first[some], b.count[some]
-        view = memoryview(np.ascontiguousarray(b.buf))
-        size = count + length - 1
-        segments = [view[x : x + s] for x, s in zip(first.tolist(), size.tolist())]
-        # of equal runs only the least document's goes on
-        kept: dict[tuple, int] = {}
-        local, send = [], []
-        for r, (name, seg, doc) in enumerate(zip(b.name[some].tolist(), segments, b.doc[some].tolist())):
-            key = (name, bytes(seg))
-            if key not in kept:
-                kept[key] = doc
-                send.append(r)
-            elif b.ids[kept[key]] < b.ids[doc]:
-                local.append(r)
-            else:
-                send.append(r)
-        out_b, out_d = [], []
-        if local:
+                two = np.frombuffer(bits[home].as_buffer(), np.uint8).reshape(2, -1)
+                shared[p] |= np.unpackbits(two[0], count=len(p)).astype(bool)
+                hot[p] = np.unpackbits(two[1], count=len(p))
+        some, heavy = shared[b.inverse], hot[b.inverse]
+        name, doc, first, count = (x[some & ~heavy] for x in (b.name, b.doc, b.first, b.count))
+        pieces = [(name, doc, first, count)]
+        if (some & heavy).any():  # each window by itself
+            doc, first, count = (x[some & heavy] for x in (b.doc, b.first, b.count))
+            which, k = _expanded(count)
+            doc, first = doc[which], first[which] + k
+            pieces.append((tb.mix(tb.word_hashes(b.buf, first, first + length)), doc, first, np.ones(len(first), count.dtype)))
+        out_b, out_d, local = [], [], [np.zeros((3, 0), np.int64)]
+        for name, doc, first, count in pieces:
+            if not len(name):
+                continue
+            # of equal runs only the least document's go on
+            rep = merged(name, b.buf, first, count + length - 1)
+            gone = b.ids[doc[rep]] < b.ids[doc]
+            local.append(np.stack([doc[gone], first[gone] - b.off[doc[gone]], count[gone]]))
+            stay = np.flatnonzero(~gone)
+            for home, p in bl.buckets(name[stay], n):
+                rows = stay[p]
+                text, index = np.unique(rep[rows], return_inverse=True)
+                head, row = np.zeros(len(text), _TEXT), np.zeros(len(rows), _ROW)
+                head["name"], head["doc"], head["count"] = name[text], b.ids[doc[text]], count[text]
+                row["text"], row["row"], row["first"] = index, doc[rows], first[rows] - b.off[doc[rows]]
+                which, k = _expanded(count[text] + length - 1)
+                out_b.append(home)
+                out_d.append(np.array([len(text), len(rows)]).tobytes() + head.tobytes() + row.tobytes() + b.buf[first[text][which] + k].tobytes())
+        removed = np.concatenate(local, axis=1)
+        if removed.size:
             out_b.append(-1 - block)
-            row = b.doc[some[local]]
-            out_d.append(_spans(row, first[local] - b.off[row], count[local]))
-        send = np.array(send)
-        for home, p in bl.buckets(b.name[some[send]], n):
-            r = send[p]
-            head = np.zeros(len(r), _ROW)
-            row = b.doc[some[r]]
-            head["name"], head["doc"], head["row"] = b.name[some[r]], b.ids[row], row
-            head["first"], head["count"] = first[r] - b.off[row], count[r]
-            out_b.append(home)
-            out_d.append(np.int64(len(r)).tobytes() + head.tobytes() + b"".join(segments[k] for k in r))
+            out_d.append(_spans(*removed))
         return bl.message(out_b, [block] * len(out_b), out_d)
 
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, bl.MESSAGE)
@@ -268,64 +311,80 @@ def _spans(row: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
     return np.stack([row[fresh], first[fresh], stop[last] - first[fresh]], axis=1).tobytes()
 
 
+def _received(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, the block of each, rows, bytes, where each text's begin)."""
+    texts, origin, rows, bodies, seen = [], [], [], [], 0
+    for block, data in zip(table["block"].to_pylist(), table["data"]):
+        raw = data.as_buffer()
+        n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+        at = 16 + n * _TEXT.itemsize
+        texts.append(np.frombuffer(raw, _TEXT, n, 16))
+        row = np.frombuffer(raw, _ROW, m, at).copy()
+        row["text"] += seen
+        rows.append(row)
+        bodies.append(np.frombuffer(raw, np.uint8, offset=at + m * _ROW.itemsize))
+        origin.append(np.full(n, block))
+        seen += n
+    text, body = np.concatenate(texts), np.concatenate(bodies)
+    start = np.concatenate(([0], np.cumsum(text["count"].astype(np.int64) + length - 1)[:-1]))
+    return text, np.concatenate(origin), np.concatenate(rows), body, start
+
+
+def _hits(text: np.ndarray, rep: np.ndarray, body: np.ndarray, start: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, first, windows) that the suffix orders of the names remove; given
+    are the least documents' texts, one for each kind of equal ones."""
+    rep = rep[np.argsort(text["name"][rep], kind="stable")]
+    _, at, kinds = np.unique(text["name"][rep], return_index=True, return_counts=True)
+    at, kinds = at[kinds > 1], kinds[kinds > 1]  # a name of one text has no other to be found in
+    count, out = text["count"].astype(np.int64), []
+    rep = rep[np.repeat(at, kinds) + _expanded(kinds)[1]]
+    edge = np.concatenate(([0], np.cumsum(kinds)))
+    held = np.concatenate(([0], np.cumsum(count[rep])))[edge]
+    i = 0
+    while i < len(kinds):
+        # several names in one suffix order: a window has one name, so suffixes
+        # of different names have no common window
+        j = max(int(np.searchsorted(held, held[i] + BATCH, side="right")) - 1, i + 1)
+        some = rep[edge[i] : edge[j]]
+        need = count[some]
+        hit = longest_previous(body, start[some], need, text["doc"][some], length) >= length
+        owner, k = _expanded(need)
+        begin = np.flatnonzero(hit & ((k == 0) | ~np.append(False, hit[:-1])))
+        end = np.flatnonzero(hit & ((k == need[owner] - 1) | ~np.append(hit[1:], False)))
+        out.append((some[owner[begin]], k[begin], end - begin + 1))
+        i = j
+    return out
+
+
 def _decide(sent: DataFrame, length: int) -> DataFrame:
     """The removed windows of each block: (row in the block, first, count)."""
 
     def run(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return table.select(["bucket", "block", "data"])
-        heads, blobs, origin = [], [], []
-        for block, data in zip(table["block"].to_pylist(), table["data"]):
-            raw = data.as_py()
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            head = np.frombuffer(raw, _ROW, n, 8)
-            at = 8 + n * _ROW.itemsize + np.concatenate(([0], np.cumsum(head["count"].astype(np.int64) + length - 1)))
-            heads.append(head)
-            blobs += [raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-            origin.append(np.full(n, block))
-        head, origin = np.concatenate(heads), np.concatenate(origin)
-        groups: dict[int, dict[bytes, list[int]]] = {}
-        for r, (name, blob) in enumerate(zip(head["name"].tolist(), blobs)):
-            groups.setdefault(name, {}).setdefault(blob, []).append(r)
-        out: list[tuple] = []
-        hold: list[tuple[list[bytes], list[list[int]]]] = []
-        held = 0
-
-        def flush() -> None:
-            # several names in one suffix order: a window has one name, so
-            # suffixes of different names have no common window
-            texts = [t for ts, _ in hold for t in ts]
-            places = [rs for _, every in hold for rs in every]
-            reps = [rs[0] for rs in places]
-            found = longest_previous(texts, head["doc"][reps], length, head["count"][reps].astype(np.int64).tolist())
-            for rs, lpf in zip(places, found):
-                hit = np.flatnonzero(np.diff(np.concatenate(([0], lpf >= length, [0])).astype(np.int8)))
-                out.extend((r, a, b - a) for a, b in zip(hit[::2].tolist(), hit[1::2].tolist()) for r in rs)
-            hold.clear()
-
-        for group in groups.values():
-            texts, places = [], []
-            for text, rows in group.items():
-                least = min(head["doc"][r] for r in rows)
-                out.extend((r, 0, int(head["count"][r])) for r in rows if head["doc"][r] > least)
-                texts.append(text)
-                # every place in the least document: what an earlier one has goes at each
-                places.append([r for r in rows if head["doc"][r] == least])
-            if len(texts) > 1:
-                hold.append((texts, places))
-                held += sum(int(head["count"][rs[0]]) for rs in places)
-                if held > 200_000:
-                    flush()
-                    held = 0
-        if hold:
-            flush()
-        if not out:
+        text, origin, row, body, start = _received(table, length)
+        del table
+        count = text["count"].astype(np.int64)
+        rep = merged(text["name"], body, start, count + length - 1)
+        least = np.full(len(text), np.iinfo(np.int64).max)
+        np.minimum.at(least, rep, text["doc"])
+        whole = text["doc"] > least[rep]
+        # of the texts that stay, one of each kind: those of one document are one
+        # text unless their bytes were never compared
+        found = [(np.flatnonzero(whole), np.zeros(whole.sum(), np.int64), count[whole])]
+        found += _hits(text, np.flatnonzero(~whole), body, start, length)
+        which, first, n = (np.concatenate(x) for x in zip(*found))
+        # what is removed of a text goes at each of its rows
+        order = np.argsort(row["text"], kind="stable")
+        edge = np.searchsorted(row["text"][order], np.arange(len(text) + 1))
+        each, k = _expanded((edge[1:] - edge[:-1])[which])
+        at = order[edge[which[each]] + k]
+        if not len(at):
             return bl.message([], [], [])
-        rows, a, n = (np.array(x) for x in zip(*out))
-        home = origin[rows]
-        order = np.argsort(home, kind="stable")
-        parts = np.split(order, np.flatnonzero(np.diff(home[order])) + 1)
-        data = [_spans(head["row"][rows[p]], head["first"][rows[p]].astype(np.int64) + a[p], n[p]) for p in parts]
+        home, first, n = origin[which[each]], row["first"][at] + first[each], n[each]
+        by_block = np.argsort(home, kind="stable")
+        parts = np.split(by_block, np.flatnonzero(np.diff(home[by_block])) + 1)
+        data = [_spans(row["row"][at[p]], first[p], n[p]) for p in parts]
         return bl.message([0] * len(parts), [int(home[p[0]]) for p in parts], data)
 
     return sent.groupBy("bucket").applyInArrow(run, bl.MESSAGE)
@@ -377,7 +436,7 @@ def _empty() -> pa.Table:
 
 
 def suffix_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = BLOCK_BYTES, hot: int = HOT
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, spans, kept_text, kept_sha256``.
 
@@ -390,7 +449,7 @@ def suffix_dedup(
     """
     rows, n = bl.blocked(docs, id_col, text_col, block_bytes)
     anchor = max(1, min(ANCHOR, length // 2))
-    answers = _answer(_ask(rows, n, length, anchor))
+    answers = _answer(_ask(rows, n, length, anchor), hot)
     removed = _decide(_send(rows, answers, n, length, anchor), length)
     out = _cut(rows, removed, length)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(bl.NO_ID))).withColumnRenamed("doc_id", id_col)
