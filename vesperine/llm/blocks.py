@@ -45,6 +45,17 @@ def message(bucket: list, block: list, data: list) -> pa.Table:
     return pa.table([pa.array(bucket, pa.int64()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "block", "data"])
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """The arrays' bytes one after another, compressed, after their size."""
+    raw = b"".join(x.tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpacked(data: pa.Scalar) -> pa.Buffer:
+    raw = data.as_buffer()
+    return pa.Codec("zstd").decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little"))
+
+
 def buckets(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions) of 64-bit keys, positions in the keys' order."""
     home = (tb.mix(keys) % np.uint64(n)).astype(np.int64)

@@ -168,8 +168,8 @@ def merged(name: np.ndarray, buf: np.ndarray, first: np.ndarray, size: np.ndarra
     _, at, inverse = np.unique(ident, return_index=True, return_inverse=True)
     least = at[inverse]
     later = np.flatnonzero(least != np.arange(len(least)))
-    for i in range(0, len(later), 1 << 16):
-        mine = later[i : i + (1 << 16)]
+    for i in range(0, len(later), 1 << 14):
+        mine = later[i : i + (1 << 14)]
         rep = least[mine]
         bad = size[mine] != size[rep]
         which, k = _expanded(np.where(bad, 0, size[mine]))
@@ -244,8 +244,9 @@ def _answer(asked: DataFrame, hot: int) -> DataFrame:
 
 
 # A message: counts of texts and rows, the texts' names, documents and windows,
-# the rows, the texts' bytes. All of a text's rows are of its document.
-_TEXT = np.dtype([("name", "<u8"), ("doc", "<i8"), ("count", "<u4")])
+# the rows, the texts' bytes, all compressed. All of a text's rows are of its
+# document.
+_TEXT = np.dtype([("name", "<u8"), ("doc", "<i8"), ("count", "u1")])
 _ROW = np.dtype([("text", "<u4"), ("row", "<u4"), ("first", "<u4")])
 
 
@@ -290,7 +291,7 @@ def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int)
                 row["text"], row["row"], row["first"] = index, doc[rows], first[rows] - b.off[doc[rows]]
                 which, k = _expanded(count[text] + length - 1)
                 out_b.append(home)
-                out_d.append(np.array([len(text), len(rows)]).tobytes() + head.tobytes() + row.tobytes() + b.buf[first[text][which] + k].tobytes())
+                out_d.append(bl.packed(np.array([len(text), len(rows)]), head, row, b.buf[first[text][which] + k]))
         removed = np.concatenate(local, axis=1)
         if removed.size:
             out_b.append(-1 - block)
@@ -315,7 +316,7 @@ def _received(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.
     """(texts, the block of each, rows, bytes, where each text's begin)."""
     texts, origin, rows, bodies, seen = [], [], [], [], 0
     for block, data in zip(table["block"].to_pylist(), table["data"]):
-        raw = data.as_buffer()
+        raw = bl.unpacked(data)
         n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
         at = 16 + n * _TEXT.itemsize
         texts.append(np.frombuffer(raw, _TEXT, n, 16))
