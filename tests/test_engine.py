@@ -65,12 +65,20 @@ def test_text_functions(spark):
     assert one(spark, tx.normalize_url(F.lit("http://h/v1//"))) == "http://h"
     assert one(spark, tx.identifier(F.lit("a\tb"))) is None
     assert one(spark, tx.bigrams(tx.tokenize(F.lit("A b-C")))) == ["a\x1fb", "b\x1fc"]
-    parts = tx.document_text(F.lit("T"), F.lit(" x "), 80)
-    assert one(spark, parts["prepared"]) == "search_document: T. x"
-    assert one(spark, tx.document_text(F.lit(None).cast("string"), F.lit("  "), 80)["prepared"]) is None
 
 
-@pytest.mark.parametrize("bad", [[0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [float("-inf"), 0.0]])
+def test_prepared_texts(spark):
+    prefix = tx.DOCUMENT_PREFIX
+    long = "é" * 60
+    rows = [(1, "T", " x "), (2, None, "  "), (3, "", long), (4, None, "a" * 63), (5, None, "a" * 64), (6, None, "a" * 62 + "  b")]
+    got = {r.id: r for r in corpus.prepared(spark.createDataFrame(rows, "id long, t string, x string"), "id", F.col("t"), F.col("x"), 80, "s").collect()}
+    assert sorted(got) == [1, 3, 4, 5, 6]  # a document without usable text is left out
+    assert {k: r.prepared for k, r in got.items()} == {1: prefix + "T. x", 3: prefix + "é" * 31, 4: prefix + "a" * 63, 5: prefix + "a" * 63, 6: prefix + "a" * 62}
+    assert {k: (r.raw_bytes, r.original_bytes, r.truncated) for k, r in got.items()} == {
+        1: (4, 21, False), 3: (120, 137, True), 4: (63, 80, False), 5: (64, 81, True), 6: (65, 82, True)
+    }
+
+
 def test_normalize_rejects(spark, bad):
     df = spark.createDataFrame([(bad,)], "v array<float>")
     with pytest.raises(Exception, match="norm"):

@@ -42,20 +42,6 @@ def truncate_utf8(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(cut, SPACE.rstrip("+") + r"+\z", ""))
 
 
-def document_text(title: Column, text: Column, most: int) -> dict[str, Column]:
-    """The prepared text of a document and its byte accounting. A text that
-    leaves nothing but the prefix is an error."""
-    content = F.concat_ws(". ", F.nullif(clean_line(title), F.lit("")), F.nullif(clean_line(text), F.lit("")))
-    original = F.concat(F.lit(DOCUMENT_PREFIX), content)
-    prepared = truncate_utf8(original, most)
-    return {
-        "prepared": F.when(prepared.startswith(DOCUMENT_PREFIX) & (content != ""), prepared),
-        "raw_bytes": F.octet_length(content).cast("long"),
-        "original_bytes": F.octet_length(original).cast("long"),
-        "truncated": F.octet_length(original) > most,
-    }
-
-
 def query_text(text: Column) -> Column:
     return F.concat(F.lit(QUERY_PREFIX), clean_line(text))
 

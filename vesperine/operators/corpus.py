@@ -11,19 +11,24 @@ from vesperine.functions import text as tx
 def prepared(docs: DataFrame, id_col: str, title: Column, text: Column, most: int, seed: str) -> DataFrame:
     """``id, prepared, raw_bytes, original_bytes, truncated, text_hash, rank_hash``;
     documents without usable text are left out."""
-    # one projection per step: each long text is cleaned once, not once per use
+    prefix = len(tx.DOCUMENT_PREFIX.encode())
     content = F.concat_ws(". ", F.nullif(tx.clean_line(title), F.lit("")), F.nullif(tx.clean_line(text), F.lit("")))
-    out = docs.select(F.col(id_col).alias("id"), content.alias("content"))
-    out = out.withColumn("original", F.concat(F.lit(tx.DOCUMENT_PREFIX), "content"))
-    out = out.withColumn("prepared", tx.truncate_utf8(F.col("original"), most)).select(
-        "id",
-        F.when(F.col("prepared").startswith(tx.DOCUMENT_PREFIX) & (F.col("content") != ""), F.col("prepared")).alias("prepared"),
-        F.octet_length("content").cast("long").alias("raw_bytes"),
-        F.octet_length("original").cast("long").alias("original_bytes"),
-        (F.octet_length("original") > most).alias("truncated"),
-    )
-    out = out.filter("prepared is not null")
-    return out.withColumn("text_hash", F.sha2(F.col("prepared").cast("binary"), 256)).withColumn("rank_hash", tx.rank_hash(seed, F.col("id")))
+    out = docs.select(F.col(id_col).alias("id"), _once(content).alias("content")).filter("content <> ''")
+    # what lies beyond the greatest length decides nothing but that it is beyond
+    start = F.concat(F.lit(tx.DOCUMENT_PREFIX).cast("binary"), F.substring(F.col("content").cast("binary"), 1, most + 4)).cast("string")
+    out = out.select("id", F.octet_length("content").cast("long").alias("raw_bytes"), _once(start).alias("start"))
+    out = out.select("id", "raw_bytes", _once(tx.truncate_utf8(F.col("start"), most)).alias("prepared")).filter(F.col("prepared").startswith(tx.DOCUMENT_PREFIX))
+    original = F.col("raw_bytes") + prefix
+    return out.select(
+        "id", "prepared", "raw_bytes", original.alias("original_bytes"), (original > most).alias("truncated"),
+        F.sha2(F.col("prepared").cast("binary"), 256).alias("text_hash"), tx.rank_hash(seed, F.col("id")).alias("rank_hash"),
+    )
+
+
+def _once(value: Column) -> Column:
+    """The value, as a generated column: filters on it are not pushed beneath it
+    and later expressions do not repeat it."""
+    return F.explode(F.array(value))
 
 
 def first_ranked(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -48,15 +53,20 @@ def tiers(rows: DataFrame, small: int, large: int) -> DataFrame:
 
     ``rows`` has ``id, text_hash, rank_hash, positive``. Positives come first;
     fillers follow by rank, the first of each text, none whose text a positive
-    has. Only the first ``large`` rows are ranked globally."""
+    has. Places are counted in ranges of the order (positive or not, then the
+    first digits of the rank), whose sizes are summed first, so no task orders
+    more than a 65,536th of the rows."""
     forced = F.col("positive").cast("int").alias("forced")
-    order = (F.col("forced").desc(), F.col("rank_hash"), F.col("id"))
     best = rows.select("id", "text_hash", "rank_hash", forced).groupBy("text_hash").agg(
         F.min_by(F.struct("id", "rank_hash", "forced"), F.struct(-F.col("forced"), F.col("rank_hash"), F.col("id"))).alias("b")
     )
-    first = best.select("b.*").orderBy(*order).limit(large)
-    place = F.row_number().over(Window.orderBy(*order))  # over the limit's rows alone
-    return first.withColumn("place", place).select("id", F.when(F.col("place") <= small, 0).otherwise(1).alias("tier"), "forced", "rank_hash")
+    first = best.select("b.*").withColumn("__r", F.concat((1 - F.col("forced")).cast("string"), F.substring("rank_hash", 1, 4)))
+    sizes = first.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))  # at most 131,072 rows
+    before = F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")
+    wanted = sizes.withColumn("__before", before).filter(F.col("__before") < large).select("__r", "__before")
+    inside = F.row_number().over(Window.partitionBy("__r").orderBy("rank_hash", "id"))
+    placed = first.join(F.broadcast(wanted), "__r").withColumn("place", F.col("__before") + inside).filter(F.col("place") <= large)
+    return placed.select("id", F.when(F.col("place") <= small, 0).otherwise(1).alias("tier"), "forced", "rank_hash")
 
 
 def tier_stats(selected: DataFrame, rows: DataFrame) -> DataFrame:
