@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vesperine.llm import textbytes as tb
-from vesperine.llm.common import parts_for, text_bytes
+from vesperine.llm.common import long_id, parts_for, text_bytes
 
 BLOCK_BYTES = 12 << 20
 NO_ID = -(2**63)
@@ -28,9 +28,9 @@ MESSAGE = "bucket long, block long, data binary"
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(``block, doc_id, text``, the number of blocks). A text longer than a
-    block makes its block that much larger. A null id is the least long."""
+    block makes its block that much larger. A null id is the least long; an id that is no integer is an error."""
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.coalesce(long_id(docs, id_col), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     n = parts_for(text_bytes(rows, "text"), block_bytes)
     return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), "doc_id", "text"), n

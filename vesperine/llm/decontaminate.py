@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vesperine.llm import textbytes as tb
-from vesperine.llm.common import parts_for, text_bytes, without
+from vesperine.llm.common import by_row, long_id, parts_for, text_bytes
 
 SHARD_BYTES = 8 << 20  # of test items sent to the executors at once
+LEAST_WORDS = 5  # of an item that is looked for
 MATCH, MISMATCH, GAP = 2, -1, -1
 PAIRS = 2_000_000  # of seed hits and items looked at together
 _BITS = 22
@@ -39,11 +40,11 @@ def _items(rows: list) -> tuple[list[int], np.ndarray, np.ndarray]:
 class Seeds:
     """Distinct seeds with the (item, offset) pairs that hold them."""
 
-    def __init__(self, words: np.ndarray, first: np.ndarray, size: int):
+    def __init__(self, words: np.ndarray, first: np.ndarray, size: int, least: int = 1):
         keys, item, at = [], [], []
         for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
             n = min(size, b - a)  # an item of fewer words is one seed
-            if n:
+            if n and b - a >= least:
                 g = tb.grams(words[a:b], n)
                 keys.append(g)
                 item.append(np.full(len(g), i))
@@ -218,6 +219,7 @@ def contaminated(
     size: int = 3,
     threshold: float = 0.5,
     shard_bytes: int = SHARD_BYTES,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """One row per document and test item that it contains:
     ``doc_id, item_id, score, start, end``.
@@ -226,17 +228,19 @@ def contaminated(
     lower case. ``score`` is the alignment's part of a full match (1.0: every
     word in order); rows below ``threshold`` are left out. ``start`` and ``end``
     are code point offsets of the best passage. Null or wordless texts and
-    items match nothing; a null id is reported as null; rows that repeat are
-    reported each. An empty benchmark or table gives no rows.
+    items match nothing, nor do items of fewer than ``least_words`` words, which
+    stand in many texts by chance; a null id is reported as null; rows that repeat are
+    reported each. An empty benchmark or table gives no rows; ids that are no
+    integers are an error.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+    texts = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    items = benchmark.select(long_id(benchmark, item_col).alias("id"), F.col(item_text_col).alias("text"))
     shards = parts_for(text_bytes(items, "text"), shard_bytes)
     out = None
     for k in range(shards):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(shards)) == k).filter("text is not null").orderBy("id", "text").collect()
         ids, words, first = _items(rows)
-        seeds = Seeds(words, first, size)
+        seeds = Seeds(words, first, size, least_words)
         if not len(seeds.keys):
             continue
         found = _spread(texts, seeds, ids, words, first, threshold)
@@ -248,5 +252,6 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that contain no test item, with their columns."""
-    return without(docs, id_col, contaminated(docs, benchmark, id_col, **options).select("doc_id"))
+    """The documents that contain no test item, with their columns; also where
+    ids repeat, are null or are no integers."""
+    return by_row(docs, id_col, lambda rows, row: contaminated(rows, benchmark, row, **options).select("doc_id"))

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesperine.llm.common import without, write_shared
+from vesperine.llm.common import by_row, joined_to_groups, long_id, write_shared
 
 # The white space that normalisation deletes.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -70,11 +70,11 @@ def exact_dedup(
     A null text is empty, and all empty texts form one group. A null id loses
     to every other. Rows that repeat an id and a text count each in
     ``group_size`` and share their ``kept`` flag. Other columns are ignored;
-    an empty table gives no rows. ``digest`` may be weak: contents are compared
+    an empty table gives no rows; an id that is no integer is an error. ``digest`` may be weak: contents are compared
     in full, and colliding digests only cost a wider join.
     """
     rows = docs.select(
-        F.col(id_col).cast("long").alias("__id"),
+        long_id(docs, id_col).alias("__id"),
         F.col(text_col).alias("__text"),
         normalised(F.col(text_col)).alias("__content"),
     ).withColumn("__digest", digest(F.col("__content")))
@@ -94,7 +94,9 @@ def exact_dedup(
         )
     on = ["__digest", "__content"] if collides else ["__digest"]
     # A content of one row is its own winner, so only real groups are joined.
-    joined = rows.select("__id", *on).join(groups.filter("__n > 1"), on, "left")
+    rows = rows.select("__id", *on)
+    copied = groups.filter("__n > 1")
+    joined = rows.join(copied, on, "left") if collides else joined_to_groups(rows, copied, "__digest", "__n", "__id")
     keep = F.when(F.col("__n").isNull(), F.col("__id")).otherwise(F.col("__keep"))
     return joined.select(
         F.col("__id").alias(id_col),
@@ -106,5 +108,6 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that stay, with their columns."""
-    return without(docs, id_col, exact_dedup(docs, id_col, text_col, **options).filter("not kept").select(id_col))
+    """The rows that stay, with their columns: one row of each content, also
+    where ids repeat, are null or are no integers."""
+    return by_row(docs, id_col, lambda rows, row: exact_dedup(rows, row, text_col, **options).filter("not kept").select(row))

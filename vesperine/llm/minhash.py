@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vesperine.llm import textbytes as tb
-from vesperine.llm.common import drop_shared, parts_for, without, write_shared
+from vesperine.llm.common import by_row, drop_shared, joined_to_groups, long_id, parts_for, write_shared
 
 GROUP_SHINGLES = 3_000_000  # of one confirming task
 
@@ -291,7 +291,7 @@ def near_duplicates(
     are kept), rows that repeat an id and text are one document. With 32 bands
     of 5 rows a pair at 0.85 is missed once in 10^8, one at 0.8 once in 10^5.
     """
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows_in = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = write_shared(_signed(rows_in, shingle, bands, rows), "near-signed")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = write_shared(
@@ -308,7 +308,7 @@ def near_duplicates(
     comps = comps.join(least, "comp").groupBy(F.col("doc_id").alias("rep")).agg(F.min("least").alias("least"))
     named = classes.join(comps, "rep", "left").select("set_id", F.coalesce("least", "rep").alias("component"), "n")
     named = write_shared(named, "near-named-classes")
-    out = signed.drop("bands").join(named, "set_id", "left")
+    out = joined_to_groups(signed.drop("bands"), named, "set_id", "n", "doc_id")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         F.col("doc_id").alias(id_col), "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("doc_id")).alias("kept")
@@ -316,5 +316,6 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component, with its columns."""
-    return without(docs, id_col, near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(id_col))
+    """One row of each component, with its columns; also where ids repeat, are
+    null or are no integers."""
+    return by_row(docs, id_col, lambda rows, row: near_duplicates(rows, row, text_col, **options).filter("not kept").select(row))
