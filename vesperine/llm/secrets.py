@@ -9,13 +9,14 @@ expressions.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesperine.llm.common import write_shared
+from vesperine.llm.common import joined_to_groups, write_shared
 
 
 class Rule(NamedTuple):
@@ -40,7 +41,6 @@ MORE_RULES = (
     Rule("bearer", r"(?i)bearer\x20+([A-Za-z0-9._~+/=-]+)", 1, 20),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = "2024-1"
 FINDING = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -56,6 +56,12 @@ def _long_enough(rule: Rule) -> str:
     return f"{rule.pattern[:-1]}{{{rule.least - length},}}"
 
 
+def version_of(rules: tuple[Rule, ...], label: str = "") -> str:
+    """The rules' version in a ledger: a label and a hash of all they say, so
+    that changed rules never reuse findings."""
+    return f"{label}{hashlib.sha256(repr([tuple(r) for r in rules]).encode()).hexdigest()[:16]}"
+
+
 def find(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule: leftmost non-overlapping matches, those too short
     dropped afterwards. Offsets count code points; ``end`` is exclusive."""
@@ -91,19 +97,24 @@ def scan(
     text_col: str = "text",
     ledger: DataFrame | None = None,
     rules: tuple[Rule, ...] = RULES,
-    rule_version: str = RULE_VERSION,
+    label: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """(paths with findings, the ledger with this run's blobs added).
 
     The first holds one row per input row: ``path, blob, findings``. The second
     holds ``blob, rule_version, findings``, one row per pair, and is stored in
-    the shared folder, so that the next run can take it. A null text is the
-    empty blob; a null path is a path; repeated rows each get their findings.
+    the shared folder, so that the next run can take it. A rule version is
+    ``label`` and a hash of the rules. A null text is the empty blob; a null
+    path is a path; repeated rows each get their findings; an empty table gives
+    no rows and leaves the ledger as it is. Paths may be of any orderable type.
     """
+    rule_version = version_of(rules, label)
     rows = versions.select(F.col(path_col).alias("__path"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn(
         "blob", F.sha2(F.col("__text").cast("binary"), 256)
     )
-    blobs = rows.groupBy("blob").agg(F.min("__path").alias("__rep"))
+    paths = write_shared(rows.select("__path", "blob"), "secret-paths")
+    counted = paths.groupBy("blob").agg(F.min("__path").alias("__rep"), F.count(F.lit(1)).alias("__n"))
+    blobs = counted.select("blob", "__rep")
     if ledger is not None:
         known = ledger.filter(F.col("rule_version") == rule_version).select("blob")
         blobs = blobs.join(known, "blob", "left_anti")
@@ -116,7 +127,8 @@ def scan(
     new = write_shared(scanned, "secret-ledger")
     whole = new if ledger is None else new.unionByName(ledger.select(*new.columns))
     hits = whole.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
-    out = rows.select("__path", "blob").join(hits, "blob", "left")
+    hits = write_shared(hits.join(counted.select("blob", "__n"), "blob"), "secret-hits")
+    out = joined_to_groups(paths, hits, "blob", "__n", "__path")
     return (
         out.select(F.col("__path").alias(path_col), "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings")),
         whole,
