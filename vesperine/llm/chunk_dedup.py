@@ -288,15 +288,19 @@ def chunk_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     passage: int = PASSAGE,
-    within: bool = False,
+    within: bool = True,
     block_bytes: int = bl.BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_chunks, n_removed, spans,
     kept_text``. ``spans`` are removed byte ranges, on character bounds.
 
+    ``passage`` is the least length of what counts as copied, in bytes: 1 removes
+    every chunk whose digest stood before, also a common phrase's. ``within``
+    removes a document's own repeats, too; without it, only what an earlier
+    document has.
+
     A copied passage is lost whole where its end chunks stem from the document
-    it was copied from (the least one that has them). A chunk that repeats only inside its own
-    document stays, unless ``within`` is set. A passage of one word repeated
+    it was copied from (the least one that has them). A passage of one word repeated
     has no cut of its own and may stay. Null texts are empty and keep all; a
     null id is less than all others; rows that repeat an id count as one
     document and remove nothing from each other. An empty table gives no rows.
