@@ -26,6 +26,9 @@ from vesperine.llm import textbytes as tb
 from vesperine.llm.common import crc_mod
 
 UNDETERMINED = "und"
+GRAMS = 8192  # n-grams of the kernel
+SAMPLE_CHARS = 20_000  # of a text that is learnt from; a longer one is no example
+LABELS = 256  # languages that can be learnt: those with the most labelled rows
 SIZES = (1, 2, 3)
 # where the codes of each length begin
 _BASE = {1: 0, 2: 1 << 8, 3: (1 << 8) + (1 << 16)}
@@ -79,9 +82,10 @@ def _kernel(presence: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (presence @ landmarks) / np.sqrt(np.maximum(size, 1))
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = 96, ridge: float = 1e-2) -> Model:
+def fit(texts: list[str], labels: list[str], landmarks: int = 96, ridge: float = 1e-2, grams_most: int = GRAMS) -> Model:
     """Ridge regression on Nystroem features. ``landmarks`` texts are taken in
-    turn from the languages, in the given order."""
+    turn from the languages, in the given order; the kernel runs over the
+    ``grams_most`` n-grams that most of them hold (under 65,536)."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros(0, np.uint32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
@@ -100,8 +104,8 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 96, ridge: float =
     held = [text(i) for i in chosen]
     grams, seen = np.unique(np.concatenate(held), return_counts=True)
     # the most widely held n-grams: the bound keeps the product's width fixed
-    if len(grams) > 8192:
-        grams = np.sort(grams[np.lexsort((grams, -seen))[:8192]])
+    if len(grams) > grams_most:
+        grams = np.sort(grams[np.lexsort((grams, -seen))[:grams_most]])
     marks = np.zeros((len(grams), len(chosen)), np.float32)
     for j, codes in enumerate(held):
         rows = np.flatnonzero(np.isin(grams, codes))
@@ -127,9 +131,11 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 96, ridge: float =
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: object, per_language: int) -> tuple[list[str], list[str]]:
     """The bounded sample: labelled rows that may be learnt from, about
-    ``per_language`` of each language by a hash of the id."""
+    ``per_language`` of each of the ``LABELS`` commonest languages by a hash of
+    the id, of texts of at most ``SAMPLE_CHARS``."""
     rows = docs.filter(learn).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = rows.groupBy(lang_col).count().collect()
+    rows = rows.filter(F.length(text_col) <= SAMPLE_CHARS)
+    counts = rows.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(LABELS).collect()
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, per_language / r["count"]))])
@@ -140,10 +146,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: ob
     return [r["t"] for r in got], [r["l"] for r in got]
 
 
-def _judge(texts: pa.Array, model: Model, cache: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(language, score) of each text."""
+def _judge(texts: pa.Array, model: Model, cache: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, known part) of each text: the part of its longest
+    n-grams that the landmarks hold, 1 where it has none."""
     raw, off = tb.column(texts)
-    pred, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
+    pred, score, known = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts)), np.ones(len(texts))
     for i, j in tb.slices(off, 1 << 18, 256):
         part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
         letters = _has_letter(part, o)
@@ -154,7 +161,11 @@ def _judge(texts: pa.Array, model: Model, cache: list[np.ndarray]) -> tuple[np.n
             odds = np.exp(4 * (f - f.max(axis=1, keepdims=True)))
             pred[i:j] = np.where(letters, np.array(model.languages, dtype=object)[f.argmax(axis=1)], UNDETERMINED)
             score[i:j] = np.where(letters, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-    return pred, score
+            code, owner = _codes(_FOLD[part], o, SIZES[-1])
+            every = np.bincount(owner, minlength=j - i)
+            mine = np.bincount(owner, weights=cache[0][code] < len(model.grams), minlength=j - i)
+            known[i:j] = np.where(every > 0, mine / np.maximum(every, 1), 1.0)
+    return pred, score, known
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +174,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score = _judge(batch.column(1), model, cache)
+            pred, score, _ = _judge(batch.column(1), model, cache)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(pred), pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"]
             )
@@ -177,22 +188,29 @@ def keep_identified(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    least: float = 0.0,
+    least: float = 0.3,
+    known: float = 0.4,
     languages: list[str] | None = None,
     per_language: int = 300,
     landmarks: int = 96,
 ) -> DataFrame:
     """The rows whose language can be told (and is one of ``languages``, if
     given) with at least the score ``least``; columns are as they were, and no
-    row moves. The model is fitted on a sample of all labelled rows."""
+    row moves. The model is fitted on a sample of all labelled rows.
+
+    A language that was not learnt, code or gibberish gets the least unlikely
+    language, at times with a high score; but the landmarks hold few of its
+    n-grams: rows of which they hold less than the part ``known`` go, too. Null
+    and letterless texts go; repeated rows and null ids are judged like others;
+    where nothing can be learnt, every row goes."""
     model = fit(*sample(docs, id_col, text_col, lang_col, F.col(id_col).isNotNull(), per_language), landmarks=landmarks)
     where = docs.columns.index(text_col)
     cache: list[np.ndarray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score = _judge(batch.column(where), model, cache)
-            keep = (pred != UNDETERMINED) & (score >= least)
+            pred, score, part = _judge(batch.column(where), model, cache)
+            keep = (pred != UNDETERMINED) & (score >= least) & (part >= known)
             if languages is not None:
                 keep &= np.isin(pred.astype(str), languages)
             yield batch.filter(pa.array(keep))
