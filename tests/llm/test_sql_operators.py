@@ -69,7 +69,7 @@ def test_exact_dedup_of_null_ids_and_repeats(spark):
     rows = spark.createDataFrame([(None, "aa"), (5, "a a"), (5, "a a"), (4, "b"), (None, "c")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.exact_dedup(rows).collect())
     assert got == [("4", "4", 1, True), ("5", "5", 3, True), ("5", "5", 3, True), ("None", "5", 3, False), ("None", "None", 1, True)]
-    assert exact_dedup.drop_copies(rows).count() == 5  # a null id names no row to drop
+    assert exact_dedup.drop_copies(rows).count() == 3  # by row: a copy goes whatever its id
     assert exact_dedup.exact_dedup(rows.limit(0)).collect() == []
 
 
@@ -117,8 +117,76 @@ def test_ledger_scans_only_unseen_blobs(spark, fixture):
     kinds = {r.doc_id: {f.kind for f in r.findings} for r in paths.collect()}
     assert kinds[7] == kinds[8] == {"old"} and "old" not in set().union(*(k for i, k in kinds.items() if i >= 300))
     assert more.count() == docs.selectExpr("coalesce(text, '') t").distinct().count()
-    again, whole = secrets.scan(docs, ledger=more, rule_version="another")
+    again, whole = secrets.scan(docs, ledger=more, label="another")
     assert whole.count() == 2 * more.count() and again.count() == docs.count()
+    # changed rules never reuse findings, and an empty table changes nothing
+    found, _ = secrets.scan(docs, ledger=more, rules=(secrets.Rule("a", "a+", 0, 1),))
+    assert {r.doc_id for r in found.filter("size(findings) > 0").collect()} == {r[0] for r in documents() if "a" in (r[1] or "")}
+    none, same_ledger = secrets.scan(docs.limit(0), ledger=more)
+    assert none.collect() == [] and same_ledger.count() == more.count()
+
+
+def test_archive_records_are_whole(spark):
+    """Repeated, null and clashing rows: every record has an id of its own, a
+    revisit names its response, and blocks are HTTP messages."""
+    pages = spark.createDataFrame(
+        [(1, "u", "x" * 100, "n"), (1, "u", "x" * 100, "n"), (None, "u", "x" * 100, "n"), (None, None, None, "n"), (2, "v", "x" * 100, "n"), (2, "v", "short", "n")],
+        "page_id long, url string, html string, digest string",
+    ).repartition(3)
+    archives = warc.write(pages)
+    records = [warc.parse(raw) for r in archives.collect() for raw in warc.read_archive(bytes(r.archive))]
+    ids = [h["warc-record-id"] for h, _ in records]
+    assert len(set(ids)) == len(ids) == pages.count() + archives.count()
+    by_id = {h["warc-record-id"]: h for h, _ in records}
+    kinds = sorted(h["warc-type"] for h, _ in records if h["warc-type"] != "warcinfo")
+    assert kinds == ["response"] * 4 + ["revisit"] * 2
+    for h, body in records:
+        if h["warc-type"] == "revisit":
+            assert by_id[h["warc-refers-to"]]["x-page-id"] == "1" and by_id[h["warc-refers-to"]]["warc-type"] == "response" and body == b""
+        elif h["warc-type"] == "response":
+            assert h["content-type"] == "application/http; msgtype=response" and body.startswith(b"HTTP/1.1 200 OK\r\n")
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.read(archives).collect())
+    assert got == [
+        ("1", 100, "response", "None"), ("1", 100, "response", "None"), ("2", 5, "response", "None"), ("2", 100, "revisit", "1"),
+        ("None", 0, "response", "None"), ("None", 100, "revisit", "1"),
+    ]
+
+
+def test_rows_meet_their_groups_however_large(spark):
+    from vesperine.llm.common import joined_to_groups
+
+    keys = [None, "a", "b", "c"] + ["hot"] * 40
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
+    groups = spark.createDataFrame([("a", 1, 10), ("b", 1, 20), ("hot", 40, 30), ("none", 1, 0)], "key string, n long, value long")
+    want = {(i, k, {"a": 10, "b": 20, "hot": 30}.get(k)) for i, k in enumerate(keys)}
+    for least in (0, 5, 100):
+        assert {(r.id, r.key, r.value) for r in joined_to_groups(rows, groups, "key", "n", "id", least_hot=least).collect()} == want
+
+
+def test_operators_say_that_ids_must_be_integers(spark):
+    rows = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    from vesperine.llm import chunk_dedup, ctw, suffix_dedup
+
+    for op in (exact_dedup.exact_dedup, minhash.near_duplicates, suffix_dedup.suffix_dedup, chunk_dedup.chunk_dedup, ctw.score):
+        with pytest.raises(TypeError, match="integer"):
+            op(rows)
+
+
+def test_stages_drop_rows_whatever_their_ids(spark):
+    """Repeated ids with other texts, repeated rows, null ids and string ids."""
+    base = "the quick brown fox jumps over the lazy dog and runs far away from all the noise of the town "
+    item = "completely different words make up this benchmark question about rivers and mountains in spring"
+    texts = [(1, "one two"), (7, "one  two"), (7, "unique seven"), (9, "nine"), (9, "nine"), (None, "one two"), (None, "alone"), (3, base * 2), (3, base * 2 + "today"), (4, item + " and"), (4, "kept four")]
+    bench = spark.createDataFrame([(1, item), (2, "the"), (3, None)], "item_id long, text string")
+    for kind in ("long", "string"):
+        rows = spark.createDataFrame([(None if i is None else (str(i) if kind == "string" else i), t, "s") for i, t in texts], f"doc_id {kind}, text string, __row string")
+        left = sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_copies(rows).collect())
+        assert left == sorted([("3", base * 2), ("3", base * 2 + "today"), ("4", item + " and"), ("4", "kept four"), ("7", "one  two"), ("7", "unique seven"), ("9", "nine"), ("None", "alone")])
+        left = sorted((str(r.doc_id), r.text) for r in minhash.drop_near_duplicates(rows).collect())
+        assert left == sorted([("1", "one two"), ("3", base * 2), ("4", item + " and"), ("4", "kept four"), ("7", "unique seven"), ("9", "nine"), ("None", "alone")])
+        left = sorted((str(r.doc_id), r.text) for r in decontaminate.decontaminate(rows, bench).collect())
+        assert left == sorted((str(i), t) for i, t in texts if t != item + " and")
+        assert decontaminate.decontaminate(rows, bench).columns == rows.columns == exact_dedup.drop_copies(rows).columns
 
 
 def test_archives_round_trip(spark, fixture, tmp_path):
@@ -136,7 +204,9 @@ def test_archives_round_trip(spark, fixture, tmp_path):
     (tmp_path / "out").mkdir()
     assert warc.export(archives, f"file://{tmp_path}/out").count() == archives.count()
     files = list((tmp_path / "out").iterdir())
-    assert sum(len(list(warc.read_archive(f.read_bytes()))) for f in files) == pages.count()
+    assert sum(len(list(warc.read_archive(f.read_bytes()))) for f in files) == pages.count() + len(files)
+    again = warc.read(warc.read_files(spark, f"file://{tmp_path}/out")).drop("payload")
+    assert sorted(map(str, again.collect())) == sorted(map(str, warc.read(archives).drop("payload").collect()))
     assert warc.read(warc.write(pages.limit(0))).collect() == []
     with pytest.raises(ValueError):
         list(warc.read_archive(files[0].read_bytes()[:-3]))
@@ -161,7 +231,9 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     from tests.llm.test_text_operators import brute_near
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    odd = spark.createDataFrame([(10**6, None, "en", None, 0), (10**6 + 1, "12 34", "en", "s", 5)], docs.schema)
+    foreign = ["我们都是中国人民的好朋友今天天气很好 " * 9, "Привет как дела сегодня хорошая погода на улице " * 5, "qxwz kvjq zzxk vvbq " * 9, "x9 " * 50]
+    odd = [(10**6, None, "en", None, 0), (10**6 + 1, "12 34", "en", "s", 5)] + [(10**6 + 2 + k, t, None, "s", 0) for k, t in enumerate(foreign)]
+    odd = spark.createDataFrame(odd, docs.schema)
     docs.union(odd).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
@@ -189,3 +261,24 @@ def test_stages_keep_columns_and_clashing_names(spark):
     assert sorted(r.doc_id for r in exact_dedup.drop_copies(rows).collect()) == sorted(r.doc_id for r in minhash.drop_near_duplicates(rows).collect()) == [1, 3]
     assert [r.doc_id for r in langid.keep_identified(rows).collect()] == [1, 2]
     assert mixing.mix(rows).count() == 3 and secrets.scan(rows)[0].count() == 3
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Repeated and null ids, a very long text, clashing columns, no rows."""
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet").withColumn("kept", F.lit("k")).withColumn("score", F.lit(1)).withColumn("n", F.col("doc_id"))
+    first = docs.filter("lang = 'en' and n_chars > 500").orderBy("doc_id").first()
+    long = " ".join(r.text for r in docs.filter("lang = 'en'").orderBy("doc_id").collect()) * 4
+    more = [{"doc_id": None, "text": first.text}, {"doc_id": first.doc_id, "text": first.text}, {"doc_id": first.doc_id, "text": None}, {"doc_id": 10**6, "text": long}]
+    rows = spark.createDataFrame([(m["doc_id"], m["text"], "en", "s", 0, "k", 1, 0) for m in more], docs.schema)
+    for k, table in enumerate((docs, docs.union(rows), docs.limit(0))):
+        path = f"{tmp_path}/{k}"
+        table.write.parquet(f"{path}/documents.parquet")
+        spark.read.parquet(f"{source}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
+    plain, odd, none = ({(r.doc_id, r["size"]) for r in corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()} for k in range(3))
+    assert none == set() and plain <= odd | {(r.doc_id, r["size"]) for r in mixing.mix(docs).collect()}
+    assert odd - plain in (set(), {(10**6, len(long.split()))})  # the copies went, whatever their ids
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, source).columns == docs.columns

@@ -349,7 +349,8 @@ def test_chunk_dedup_removes_later_copies(spark):
         assert all(got[i].n_removed == 0 and got[i].kept_text == t for i, t in clean.items())
         assert got[40].n_bytes == got[41].n_bytes == 0
     own = frame(spark, [(1, f"{passage} and {passage}", "s", "b"), (2, clean[20], "s", "b")])
-    assert [r.n_removed > 0 for r in chunk_dedup.chunk_dedup(own).orderBy("doc_id").collect()] == [False, False]
+    assert [r.n_removed > 0 for r in chunk_dedup.chunk_dedup(own, within=False).orderBy("doc_id").collect()] == [False, False]
+    assert [r.n_removed > 300 for r in chunk_dedup.chunk_dedup(own).orderBy("doc_id").collect()] == [True, False]
     assert [r.n_removed > 0 for r in chunk_dedup.chunk_dedup(own, within=True).orderBy("doc_id").collect()] == [True, False]
 
 
@@ -484,3 +485,77 @@ def test_null_ids_and_repeated_rows(spark):
     near = minhash.near_duplicates(df).collect()
     assert sorted((str(r.doc_id), r.component_id, r.kept) for r in near) == [("3", 3, True), ("3", 3, True), ("5", 3, False), ("None", None, True)]
     assert len(chunk_dedup.chunk_dedup(df).collect()) == len(ctw.score(df).collect()) == len(langid.identify(df.withColumnRenamed("score", "lang")).collect()) == 4
+
+
+def brute_chunks(rows, passage, within):
+    """Each document's removed spans, chunk by chunk and byte by byte."""
+    data = {i: (t or "").encode() for i, t in sorted(rows)}
+    ends = {i: chunk_dedup.cuts(np.frombuffer(b, np.uint8)).tolist() for i, b in data.items()}
+    first, out = {}, {}
+    for i, b in data.items():
+        for s, e in zip([0, *ends[i]], ends[i]):
+            first.setdefault(b[s:e], (i, s))
+
+    def alike(i, p, j, q, step):
+        a, b, n = data[i], data[j], 0
+        while n < chunk_dedup.REACH:
+            x, y = (p + n, q + n) if step > 0 else (p - 1 - n, q - 1 - n)
+            if min(x, y) < 0 or x >= len(a) or y >= len(b) or a[x] != b[y]:
+                break
+            n += 1
+        return n
+
+    for i, b in data.items():
+        found, run = [], []
+        for s, e in [*zip([0, *ends[i]], ends[i]), (None, None)]:
+            j, at = first[b[s:e]] if s is not None else (None, None)
+            if s is not None and ((j, at) != (i, s) if within else j != i):
+                run.append((s, e, j, at))
+            elif run:
+                (s0, _, j0, at0), (s1, e1, j1, at1) = run[0], run[-1]
+                found.append((s0 - alike(i, s0, j0, at0, -1), e1 + alike(i, e1, j1, at1 + e1 - s1, 1)))
+                run = []
+        gone = np.zeros(len(b) + 2, bool)
+        for s, e in found:
+            if e - s >= passage:
+                gone[s + 1 : e + 1] = True
+        edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+        spans = []
+        for s, e in zip(edges[::2], edges[1::2]):
+            while s < e and b[s] & 0xC0 == 0x80:
+                s += 1
+            while e > s and e < len(b) and b[e] & 0xC0 == 0x80:
+                e -= 1
+            spans.append((s, e))
+        out[i] = spans
+    return out
+
+
+@pytest.mark.parametrize(("passage", "within"), [(1, True), (1, False), (chunk_dedup.PASSAGE, True)])
+def test_chunk_dedup_equals_brute_force(spark, passage, within):
+    rows = [r[:2] for r in odd_rows() if r[0] != 16] + [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = brute_chunks(rows, passage, within)
+    for block_bytes in (50_000, 1 << 22):
+        found = chunk_dedup.chunk_dedup(frame(spark, [(*r, "s", "b") for r in rows]), passage=passage, within=within, block_bytes=block_bytes).collect()
+        assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found} == want
+    assert sum(len(s) > 0 for s in want.values()) > 20
+
+
+def test_kernel_equals_sets_of_ngrams():
+    """The batched products are the kernel by definition: shared n-grams over
+    the geometric mean of the set sizes, within the model's n-grams."""
+    import pyarrow as pa
+
+    texts = ["The cat sat", "le chat est là", "", "der hund und die katze 12", "THE  cat\tsat 9", "x"]
+    model = langid.fit(texts[:2] + texts[3:5], ["en", "fr", "de", "en"], landmarks=4)
+
+    def grams(text):
+        raw = re.sub(rb"[0-9]", b"0", re.sub(rb"[\t\n\x0b\x0c\r ]", b" ", text.encode())).lower()
+        return {langid._BASE[n] + int.from_bytes(raw[i : i + n], "big") for n in langid.SIZES for i in range(len(raw) - n + 1)}
+
+    own = set(model.grams.tolist())
+    marks = [grams(texts[i]) & own for i in (0, 1, 3, 4)]
+    buf, off = tb.column(pa.array(texts))
+    got = langid._kernel(langid._presence(langid._FOLD[buf], off, model.grams, langid._lookup(model.grams)), model.landmarks)
+    want = {tuple(sorted(m)): [len(m & grams(t)) / max(1, (len(m) * len(own & grams(t)))) ** 0.5 for t in texts] for m in marks}
+    assert np.allclose(sorted(got.T.tolist()), sorted(want[tuple(sorted(m))] for m in marks), atol=1e-5)
