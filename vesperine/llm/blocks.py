@@ -38,6 +38,7 @@ def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
 
 def ordered(table: pa.Table) -> pa.Table:
     """A block's rows in the one order that every step agrees on."""
+    pa.default_memory_pool().release_unused()  # what the worker's last block left
     return table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
