@@ -79,6 +79,7 @@ def test_prepared_texts(spark):
     }
 
 
+@pytest.mark.parametrize("bad", [[0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [float("-inf"), 0.0]])
 def test_normalize_rejects(spark, bad):
     df = spark.createDataFrame([(bad,)], "v array<float>")
     with pytest.raises(Exception, match="norm"):
@@ -102,7 +103,9 @@ def test_many_query_blocks_agree(spark):
 
 def test_quantizer_round_trip_and_checks(spark):
     codes = [3, 0, 15, 7, 1]
-    assert quantize.unpack(quantize.pack(codes, 4), 5, 4) == codes and len(quantize.pack(codes, 5)) == 4
+    raw = quantize.pack(np.array([codes, codes[::-1]]), 4)
+    assert quantize.unpack(raw, 5, 4).tolist() == [codes, codes[::-1]] and quantize.pack(np.array([codes]), 5).shape == (1, 4)
+    assert raw[0].tobytes() == sum(c << (4 * k) for k, c in enumerate(codes)).to_bytes(3, "little")
     rows = spark.createDataFrame([(i, [float(i % 3 == k) for k in range(4)]) for i in range(30)], "id long, v array<float>")
     book = quantize.train(rows, 2, 2)
     assert book.code_bytes == 1 and book.centroids.shape == (2, 4, 2)

@@ -137,22 +137,59 @@ def _crc_table() -> np.ndarray:
     return table
 
 
-def crc32c_of(values: list[bytes]) -> np.ndarray:
-    """CRC-32C (Castagnoli) of byte strings; all advance together."""
+SEGMENT = 1024  # bytes that one step of the loop takes of each string at most
+
+
+def _crc_raw(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The register, begun at 0, after each range of bytes; all advance together."""
     table = _crc_table()
-    size = np.array([len(v) for v in values], dtype=np.int64)
-    buf, off = np.frombuffer(b"".join(values), np.uint8), np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
     order = np.argsort(-size, kind="stable")
-    s, n = off[order], size[order]
-    crc = np.full(len(values), 0xFFFFFFFF, dtype=np.uint32)
+    s, n = start[order], size[order]
+    crc = np.zeros(len(size), dtype=np.uint32)
     for k in range(int(n.max(initial=0))):
         live = int(np.searchsorted(-n, -k, side="left"))
         crc[:live] = table[(crc[:live] ^ buf[s[:live] + k]) & 0xFF] ^ (crc[:live] >> np.uint32(8))
-    out = np.empty(len(values), np.int64)
-    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    out = np.empty(len(size), np.uint32)
+    out[order] = crc
+    return out
+
+
+def _zeros(crc: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The registers after ``count`` zero bytes more. A zero byte is a linear
+    map of the register's bits; its powers of two are applied in turn."""
+    table = _crc_table()
+    step = np.array([table[(1 << b) & 0xFF] ^ np.uint32((1 << b) >> 8) for b in range(32)], np.uint32)  # the images of single bits
+    left, out = count.copy(), crc.copy()
+    while left.any():
+        some = np.flatnonzero(left & 1)
+        out[some] = _applied(step, out[some])
+        step, left = _applied(step, step), left >> 1
     return out
 
 
+def _applied(images: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values), np.uint32)
+    for b in range(32):
+        out ^= np.where((values >> np.uint32(b)) & np.uint32(1), images[b], np.uint32(0))
+    return out
+
+
+def crc32c_of(values: list[bytes]) -> np.ndarray:
+    """CRC-32C (Castagnoli) of byte strings. Strings are cut into segments that
+    advance together, however long a string is; the register is linear, so each
+    segment's is shifted by the bytes after it, and a string's are combined."""
+    size = np.array([len(v) for v in values], dtype=np.int64)
+    buf, off = np.frombuffer(b"".join(values), np.uint8), np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+    parts = -(-size // SEGMENT)
+    owner = np.repeat(np.arange(len(size)), parts)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    length = np.minimum(SEGMENT, size[owner] - k * SEGMENT)
+    shifted = _zeros(_crc_raw(buf, off[owner] + k * SEGMENT, length), size[owner] - k * SEGMENT - length)
+    out = _zeros(np.full(len(size), 0xFFFFFFFF, np.uint32), size)  # the register's first value, shifted by all bytes
+    np.bitwise_xor.at(out, owner, shifted)
+    return (out ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
+
+
 def crc32c(column: Column) -> Column:
     """CRC-32C of a string or binary column, as a long."""
 

@@ -75,6 +75,22 @@ def edit_distance(a: Column, b: Column, limit: int) -> Column:
     return F.when(d < 0, F.lit(limit + 1)).otherwise(d)
 
 
+def nearest_name(word: str, names: list[str], most: int = 2) -> str | None:
+    """The name with the least edit distance to a mistyped word, at most
+    ``most``; the first in order of names on ties."""
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    best = min(((distance(word, n), n) for n in names), default=(most + 1, ""))
+    return best[1] if best[0] <= most else None
+
+
 def normalize_url(url: Column) -> Column:
     """Without trailing slashes and one trailing version segment."""
     bare = F.regexp_replace(url, "/+$", "")

@@ -74,9 +74,27 @@ def sample(vectors: DataFrame, samples: int, seed: str) -> np.ndarray:
     return matrix(rows["v"].combine_chunks()) if rows.num_rows else np.zeros((0, 0), np.float32)
 
 
-def train(vectors: DataFrame, parts: int, bits: int, iterations: int = 10, samples: int = 4096, seed: str = "pq-42:") -> Codebook:
+def spread_seeds(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: each next centroid is drawn with a chance in proportion to its
+    squared distance from the nearest so far; where all distances are zero, the
+    points are taken in turn."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(points)))]
+    gap = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = gap.sum()
+        one = int(np.searchsorted(np.cumsum(gap), rng.random() * total, side="right")) if total > 0 else len(chosen) % len(points)
+        chosen.append(min(one, len(points) - 1))
+        gap = np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
+
+
+def train(
+    vectors: DataFrame, parts: int, bits: int, iterations: int = 10, samples: int = 4096, seed: str = "pq-42:", spread: int | None = None
+) -> Codebook:
     """Lloyd's iterations in each part. The first K sampled vectors seed the
-    centroids; an empty cluster takes the sample farthest from its centroid."""
+    centroids, or with ``spread``, a seed, those that k-means++ draws; an empty
+    cluster takes the sample farthest from its centroid."""
     if not 1 <= bits <= 8 or parts < 1 or samples < 1:
         raise ValueError("a codebook needs 1 to 8 bits, parts and samples")
     x = sample(vectors, samples, seed)
@@ -86,7 +104,7 @@ def train(vectors: DataFrame, parts: int, bits: int, iterations: int = 10, sampl
     book = np.empty((parts, k, d), np.float32)
     for part in range(parts):
         own = x[:, part * d : (part + 1) * d].astype(np.float64)
-        centre = own[:k].astype(np.float32)
+        centre = (own[:k] if spread is None else spread_seeds(own, k, spread + part)).astype(np.float32)
         for _ in range(iterations):
             distance = squared(own, centre)
             near = distance.argmin(axis=1)
@@ -115,12 +133,36 @@ def encode(vectors: DataFrame, book: Codebook) -> DataFrame:
     return vectors.select(F.col("id").cast("long"), "v").filter("v is not null").mapInArrow(run, "id long, codes array<smallint>")
 
 
-def pack(codes: list[int], bits: int) -> bytes:
-    """Codes as a little-endian bit string."""
-    value = sum(code << (bits * k) for k, code in enumerate(codes))
-    return value.to_bytes(-(-len(codes) * bits // 8), "little")
+def pack(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of codes as rows of bytes, a little-endian bit string each."""
+    on = (codes[:, :, None] >> np.arange(bits)) & 1
+    return np.packbits(on.reshape(len(codes), -1).astype(np.uint8), axis=1, bitorder="little")
 
 
-def unpack(data: bytes, parts: int, bits: int) -> list[int]:
-    value = int.from_bytes(data, "little")
-    return [(value >> (bits * k)) & ((1 << bits) - 1) for k in range(parts)]
+def unpack(data: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    on = np.unpackbits(data, axis=1, bitorder="little")[:, : parts * bits].reshape(len(data), parts, bits)
+    return (on.astype(np.int64) << np.arange(bits)).sum(axis=2)
+
+
+def packed(codes: DataFrame, bits: int) -> DataFrame:
+    """``id, code`` (binary) of ``id, codes``: as they are stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pack(matrix(batch.column(1)).astype(np.int64), bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "code"])
+
+    return codes.select("id", "codes").mapInArrow(run, "id long, code binary")
+
+
+def unpacked(codes: DataFrame, parts: int, bits: int) -> DataFrame:
+    """``id, codes`` of ``id, code``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            rows = unpack(raw, parts, bits) if batch.num_rows else np.zeros((0, parts), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, parts), pa.int32()), pa.array(rows.ravel().astype(np.int16)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "codes"])
+
+    return codes.select("id", "code").mapInArrow(run, "id long, codes array<smallint>")

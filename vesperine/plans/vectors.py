@@ -5,8 +5,6 @@ Searches ask with every row whose id is divisible by 100, against all rows.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,16 +98,9 @@ def simhash_sketch(spark, sf_dir):
     return _sketches(spark, sf_dir).select(F.col("id").alias("vec_id"), sketch.bit_string(F.col("v"), SKETCH_BITS).alias("bits"))
 
 
-def _hamming_distances(q, c):
-    import numpy as np
-
-    x = np.bitwise_xor(q[:, None, :].astype(np.int64), c[None, :, :].astype(np.int64)).view(np.uint64)
-    return (np.bitwise_count(x).sum(axis=2) / (64.0 * q.shape[1])).astype(np.float32)
-
-
 def _hamming(spark, sf_dir, k):
     rows = _sketches(spark, sf_dir)
-    return neighbours.top_k(rows, rows.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), k, _hamming_distances)
+    return neighbours.top_k(rows, rows.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), k, sketch.hamming)
 
 
 def simhash_hamming_topk(spark, sf_dir):
@@ -123,7 +114,6 @@ def simhash_recall(spark, sf_dir):
     return out.select("query_id", "found", F.round("recall", 6).alias("recall"))
 
 
-@lru_cache(maxsize=8)
 def _book_of(spark, sf_dir, parts, bits, iterations):
     return quantize.train(vectors(spark, sf_dir), parts, bits, iterations)
 

@@ -16,7 +16,11 @@ def write(docs: DataFrame, path: str, parts: int = 32) -> None:
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, text string, crc32c long").parquet(path)
+    """The stored table; another layout is an error."""
+    store = spark.read.parquet(path)
+    if dict(store.dtypes) != {"doc_id": "bigint", "text": "string", "crc32c": "bigint"}:
+        raise ValueError(f"{path} is no document store")
+    return store
 
 
 def _checked(rows: DataFrame) -> DataFrame:
@@ -30,5 +34,9 @@ def read(store: DataFrame, doc_id: int) -> DataFrame:
 
 
 def read_many(store: DataFrame, ids: DataFrame) -> DataFrame:
-    """``ord, doc_id, text`` of the asked ids, as often as they are asked."""
-    return _checked(ids.join(store, "doc_id")).select("ord", "doc_id", "text")
+    """``ord, doc_id, text`` of the asked ids, as often as they are asked and
+    in the order of ``ord``; an id that the store lacks is an error."""
+    joined = ids.join(store.withColumn("__has", F.lit(True)), "doc_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no document "), F.col("doc_id").cast("string"))).cast("string")
+    found = joined.withColumn("text", F.when(F.col("__has"), F.col("text")).otherwise(missing))
+    return _checked(found).select("ord", "doc_id", "text").orderBy("ord")

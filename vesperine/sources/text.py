@@ -6,21 +6,26 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vesperine.functions import text as tx
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, text``: non-empty LF lines, one trailing CR stripped, numbered
-    from 0 in file order.
-
-    A dense number needs the count of all lines before: files are read as
-    partitions in order, counted per partition, and offset by a running total
-    over partitions (``zipWithIndex`` does the two passes)."""
-    lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "\r$", "").alias("text")).filter("text <> ''")
-    schema = T.StructType([T.StructField("doc_id", T.LongType(), False), T.StructField("text", T.StringType(), False)])
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])), schema)
+    from 0 in the order of file names and lines.
+
+    A dense number needs the count of all lines before: lines are numbered
+    within the splits that the scan deals out, splits are counted, and a running
+    total over splits (one row each) is added."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.regexp_replace("value", "\r$", "").alias("text"), F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__s")
+    )
+    lines = lines.filter("text <> ''").withColumn("__n", F.monotonically_increasing_id())
+    splits = lines.groupBy("__f", "__s").agg(F.count(F.lit(1)).alias("__c"), F.min("__n").alias("__low"))
+    before = F.sum("__c").over(Window.orderBy("__f", "__s")) - F.col("__c")
+    splits = splits.select("__f", "__s", (before - F.col("__low")).alias("__plus"))
+    moved = F.raise_error(F.lit("the scan dealt its splits out anew")).cast("long")
+    return lines.join(splits, ["__f", "__s"], "left").select(F.coalesce(F.col("__n") + F.col("__plus"), moved).alias("doc_id"), "text")
 
 
 def source_identity(spark: SparkSession, path: str) -> DataFrame:
@@ -29,6 +34,9 @@ def source_identity(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).orderBy("path")
 
 
+GROUND_TRUTH = "GT1"  # the first word of a ground-truth file, if not told another
+
+
 def ground_truth_rows(truth: DataFrame) -> DataFrame:
     """``query_id, ids``: one blank-joined row per query, ranks in order."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string"))
@@ -117,9 +125,81 @@ def read_observations(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
 
 
+def revalidated(rows: DataFrame, k: int, corpus: int) -> DataFrame:
+    """``query_index, fault`` of observations (``query_index, recall,
+    latency_ms, exact_recomputations, result_ids``) that cannot be: ids that are
+    no canonical list, not k distinct ones of the corpus, a recall that is not a
+    multiple of 1/k from 0 to 1, a latency that is not finite and positive."""
+    ids = F.when(tx.is_id_list(F.col("result_ids")), tx.id_list(F.col("result_ids")))
+    hits = F.col("recall") * k
+    fault = (
+        F.when(ids.isNull(), "ids")
+        .when((F.size(ids) != k) | (F.size(F.array_distinct(ids)) != k) | F.exists(ids, lambda x: x >= corpus), "results")
+        .when(~F.coalesce((F.abs(hits - F.round(hits)) < 1e-9) & F.col("recall").between(0, 1), F.lit(False)), "recall")
+        .when(~F.coalesce((F.col("latency_ms") > 0) & (F.col("latency_ms") < float("inf")), F.lit(False)), "latency")
+        .when(F.col("exact_recomputations") < k, "recomputations")
+    )
+    return rows.select("query_index", fault.alias("fault")).filter("fault is not null")
+
+
+def parse_bool(text: Column) -> Column:
+    """true or false, 1 or 0; null for anything else."""
+    return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+
+
+def parse_time(text: Column) -> Column:
+    """A timestamp of a strict ISO-8601 text with a zone; null for others."""
+    whole = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:\d\d)$")
+    return F.when(whole, F.try_to_timestamp(text))
+
+
+def out_of_order(rows: DataFrame, earlier: str, later: str) -> DataFrame:
+    """Rows whose times do not parse or do not follow one another."""
+    a, b = parse_time(F.col(earlier)), parse_time(F.col(later))
+    return rows.filter(~F.coalesce(a <= b, F.lit(False)))
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """A corpus view under constraints: distinct ids, no empty text, lengths
+    that agree; a row that breaks one is an error when the view is read."""
+    _distinct(rows, "id")
+    broken = F.raise_error(F.concat(F.lit("a row breaks a constraint: "), F.coalesce(F.col("id").cast("string"), F.lit("no id")))).cast("string")
+    fine = F.col("id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0) & (F.octet_length("text") == F.col("n_bytes"))
+    out = rows.withColumn("text", F.when(F.coalesce(fine, F.lit(False)), F.col("text")).otherwise(broken))
+    out.createOrReplaceTempView(name)
+    return out
+
+
+def write_tier(rows: DataFrame, path: str, parts: int = 32) -> DataFrame:
+    """Write a tier's texts (``id, text``), one line each in the order of ids,
+    and return its manifest: ``lines, bytes, digest``, computed from what
+    stands on disk, the digest of the lines' own digests whatever their order."""
+    texts = rows.select("id", F.regexp_replace("text", "[\r\n]+", " ").alias("text"))
+    texts.repartitionByRange(parts, "id").sortWithinPartitions("id").select("text").write.text(path)
+    return tier_manifest(rows.sparkSession, path)
+
+
+def tier_manifest(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path, lineSep="\n")
+    one = F.conv(F.substring(F.sha2(F.col("value").cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return lines.agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"), F.sum(one).cast("string").alias("digest")
+    )
+
+
+def report_markdown(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``line`` of a Markdown table, the head first (``ord`` 0 and 1)."""
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in columns]
+    body = rows.select(F.lit(2).alias("ord"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = [(0, "| " + " | ".join(columns) + " |"), (1, "|" + " --- |" * len(columns))]
+    return rows.sparkSession.createDataFrame(head, "ord int, line string").union(body)
+
+
 def as_json(*columns: Column) -> Column:
-    """One JSON object; text that is not valid UTF-8 is an error."""
-    return F.to_json(F.struct(*columns))
+    """One JSON object, null fields left out; text that is not valid UTF-8 is an
+    error."""
+    whole = F.to_json(F.struct(*columns))
+    return F.when(F.is_valid_utf8(whole), whole).otherwise(F.raise_error(F.lit("a field is not valid UTF-8")).cast("string"))
 
 
 def union_of_keys(frames: list[DataFrame]) -> DataFrame:
