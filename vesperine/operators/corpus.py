@@ -124,3 +124,24 @@ def parity_report(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"), F.avg("cosine").alias("mean"), F.max("max_abs").alias("max_abs"),
         F.min_by("id", F.struct(F.round("cosine", 9), F.col("id"))).alias("worst_id"),
     )
+
+
+def origin_faults(sample: DataFrame, origin: DataFrame) -> DataFrame:
+    """``id, fault`` of sampled rows (``id, text_hash``) whose text is not what
+    the corpus makes of that id, or that the corpus lacks."""
+    joined = sample.join(origin.select("id", F.col("text_hash").alias("want")), "id", "left")
+    fault = F.when(F.col("want").isNull(), "no origin").when(~F.col("want").eqNullSafe(F.col("text_hash")), "differs")
+    return joined.select("id", fault.alias("fault")).filter("fault is not null")
+
+
+def prefix_faults(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Ids of a smaller tier whose row the larger one does not have alike."""
+    return small.select("id", "text_hash").join(large.select("id", "text_hash"), ["id", "text_hash"], "left_anti").select("id")
+
+
+def parity_fixture(queries: DataFrame, docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``kind, source_index, text, utf8_bytes, categories``: all queries, and
+    the documents of a sample (``source_index, categories``)."""
+    one = queries.select(F.lit("query").alias("kind"), "source_index", "text", F.array(F.lit("query")).alias("categories"))
+    two = docs.join(sample, "source_index").select(F.lit("document").alias("kind"), "source_index", "text", "categories")
+    return one.unionByName(two).withColumn("utf8_bytes", F.octet_length("text").cast("long"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vesperine.plans import evaluation, texts, vectors
+from vesperine.plans import evaluation, roundtrips, texts, vectors
 
-_MODULES = (vectors, texts, evaluation)
+_MODULES = (vectors, texts, evaluation, roundtrips)
 
 
 def queries() -> dict:

@@ -51,6 +51,17 @@ def delete(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One new file, through the store's own client."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        for k in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[k : k + (1 << 20)]))
+    finally:
+        out.close()
+
+
 def rename(spark: SparkSession, old: str, new: str) -> bool:
     """Rename within a store; false if the target exists or the store says no."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
