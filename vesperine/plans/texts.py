@@ -112,9 +112,10 @@ def tier_stats(spark, sf_dir):
 
 
 def tier_nesting_violations(spark, sf_dir):
+    """Ids of the small tier that a large one made of fewer rows lacks."""
     n = _docs(spark, sf_dir).count()
     rows = _rows(spark, sf_dir)
-    return corpus.not_nested(corpus.tiers(rows, n // 10, n // 10), corpus.tiers(rows, n // 10, n // 2))
+    return corpus.not_nested(corpus.tiers(rows, n // 10, n // 10), corpus.tiers(rows.filter("id % 9 <> 4"), n // 10, n // 2))
 
 
 def qrel_semi_join(spark, sf_dir):
@@ -146,9 +147,11 @@ def crc32c_documents(spark, sf_dir):
 
 
 def utf8_validity(spark, sf_dir):
+    """Whether a text is whole when cut at some byte."""
     raw = F.col("text").cast("binary")
+    cut = F.expr("substring(cast(text as binary), 1, cast(doc_id % 97 + 1 as int))").cast("string")
     return _docs(spark, sf_dir).select(
-        "doc_id", F.is_valid_utf8(F.col("text")).alias("whole"), F.is_valid_utf8(F.concat(raw, F.unhex(F.lit("C0AF"))).cast("string")).alias("overlong")
+        "doc_id", F.is_valid_utf8(cut).alias("whole"), F.is_valid_utf8(F.concat(raw, F.unhex(F.lit("C0AF"))).cast("string")).alias("overlong")
     )
 
 
@@ -173,13 +176,12 @@ def edit_distance_suggest(spark, sf_dir):
 
 def url_normalize(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    url = F.concat(F.regexp_extract("url", "^https?://[^/]+", 0), F.when(F.col("page_id") % 2 == 0, "/v1//").otherwise("//"))
-    return pages.select("page_id", tx.normalize_url(url).alias("url"))
+    suffix = F.when(F.col("page_id") % 3 == 0, "/v1//").when(F.col("page_id") % 3 == 1, "//").otherwise("")
+    return pages.select("page_id", tx.normalize_url(F.concat("url", suffix)).alias("url"))
 
 
 def dense_document_ids(spark, sf_dir):
-    kept = _docs(spark, sf_dir).filter("lang = 'en'").select("doc_id")
-    return ts.dense_ids(kept, "doc_id", 128)
+    return ts.dense_ids(_docs(spark, sf_dir).select("doc_id"), "doc_id", 128)
 
 
 QUERIES = (
@@ -251,7 +253,10 @@ SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(CAST(distance AS DOUBL
         "tier_selection": f"WITH {_TIERS} SELECT id AS doc_id, tier, forced FROM tiers",
         "tier_stats": f"""WITH {_TIERS}, j AS (SELECT tier, p.* FROM tiers JOIN prepared p USING (id)), x AS (SELECT 'large' AS name, * FROM j UNION ALL SELECT 'small', * FROM j WHERE tier = 0)
 SELECT name, count(*) AS documents, CAST(sum(octet_length(encode(prepared))) AS BIGINT) AS bytes, max(octet_length(encode(prepared))) AS largest, count(*) FILTER (truncated) AS n_truncated, count(DISTINCT text_hash) AS unique_texts FROM x GROUP BY name""",
-        "tier_nesting_violations": f"WITH {_TIERS} SELECT id FROM tiers WHERE tier = 0 AND id NOT IN (SELECT id FROM tiers)",
+        "tier_nesting_violations": f"""WITH {_TIERS},
+f AS (SELECT * FROM r WHERE id % 9 <> 4 QUALIFY row_number() OVER (PARTITION BY text_hash ORDER BY forced DESC, rank_hash, id) = 1),
+l AS (SELECT id FROM f QUALIFY row_number() OVER (ORDER BY forced DESC, rank_hash, id) <= (SELECT count(*) // 2 FROM documents))
+SELECT id FROM tiers WHERE tier = 0 AND id NOT IN (SELECT id FROM l)""",
         "qrel_semi_join": f"WITH {_TIERS} SELECT doc_id, quality FROM labels WHERE quality > 0 AND doc_id IN (SELECT id FROM tiers)",
         "qrel_coverage": f"WITH {_TIERS} SELECT quality, count(*) AS n, count(*) FILTER (tier = 0) AS small, count(tier) AS large FROM labels LEFT JOIN tiers ON id = doc_id GROUP BY quality",
         "sample_categories": """WITH n AS (SELECT count(*) AS n FROM documents),
@@ -260,12 +265,19 @@ a AS (SELECT i * (n - 1) // 19 AS idx, 'evenly_spaced' AS c FROM n, range(20) r(
   UNION SELECT doc_id, 'explicit' FROM documents WHERE doc_id IN (3, 5))
 SELECT idx, string_agg(c, ',' ORDER BY c) AS categories FROM a GROUP BY idx""",
         "content_hashes": "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS n_bytes FROM documents",
-        "utf8_validity": "SELECT doc_id, true AS whole, false AS overlong FROM documents",
+        "crc32c_documents": f"""WITH t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::UINTEGER, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, {hashing.CRC32C_POLYNOMIAL}::UINTEGER) ELSE a >> 1 END)) AS t),
+b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (
+  SELECT doc_id, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)),
+    lambda a, x: xor(a >> 8, t[CAST(xor(a, x) % 256 AS INT) + 1]::UBIGINT)) AS c FROM b, t)
+SELECT doc_id, CAST(xor(c, 4294967295::UBIGINT) AS BIGINT) AS crc32c FROM c""",
+        "utf8_validity": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(strlen(TRY(decode(encode(text)[1:doc_id % 97 + 1]))) >= 0, false) END AS whole, CASE WHEN text IS NOT NULL THEN false END AS overlong FROM documents",
         "strict_number_parse": """WITH e AS (SELECT event_id, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS c FROM events),
 t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN c || 'e-2' WHEN 1 THEN '+' || c || '.5' WHEN 2 THEN '1e400' WHEN 3 THEN '1e-400' WHEN 4 THEN '0x' || c ELSE '-0.0' END AS typed FROM e)
 SELECT event_id, typed, CASE WHEN event_id % 6 IN (0, 1, 5) THEN CAST(ltrim(typed, '+') AS DOUBLE) + 0.0 END AS parsed FROM t""",
         "edit_distance_suggest": """WITH n AS (SELECT DISTINCT event_type AS name FROM events), t AS (SELECT substr(name, 2) AS typed FROM n)
 SELECT typed, arg_min(name, (levenshtein(typed, name), name)) AS suggestion, CAST(min(levenshtein(typed, name)) AS INT) AS distance FROM t, n WHERE levenshtein(typed, name) < 3 GROUP BY typed""",
-        "url_normalize": "SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS url FROM pages",
-        "dense_document_ids": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS dense_id FROM documents WHERE lang = 'en'",
+        "url_normalize": "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url || CASE page_id % 3 WHEN 0 THEN '/v1//' WHEN 1 THEN '//' ELSE '' END, '/+$', ''), '/v1$', ''), '/+$', '') AS url FROM pages",
+        "dense_document_ids": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS dense_id FROM documents",
     }

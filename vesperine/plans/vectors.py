@@ -250,8 +250,13 @@ def ivf_recall(spark, sf_dir):
 
 
 def result_invariants(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    return evaluate.result_faults(_truth(spark, sf_dir), 10, rows.count())
+    """Queries whose results are not ten distinct ids in range; some results
+    are broken on purpose: repeated, out of range, or one too few."""
+    n = vectors(spark, sf_dir).count()
+    k = F.col("query_id") % 500
+    broken = F.when(k == 100, F.col("id") % 2).when((k == 200) & (F.col("rank") == 1), F.lit(n)).otherwise(F.col("id"))
+    found = _truth(spark, sf_dir).withColumn("id", broken.cast("long")).filter((k != 300) | (F.col("rank") < 10))
+    return evaluate.result_faults(found, 10, n)
 
 
 def recall_summary(spark, sf_dir):
@@ -436,7 +441,7 @@ SELECT query_id, hop, count(*) AS nodes FROM a GROUP BY query_id, hop""",
         "search_budget_metrics": "SELECT count(*) AS n, least(128, count(*)) AS exact_budget, least(count(*), greatest(least(128, count(*)), CAST(ceil(least(128, count(*)) / 0.25) AS BIGINT))) AS beam, CAST(ceil(least(128, count(*)) / 16.0) AS BIGINT) AS batches FROM embeddings",
         "ivf_topk": f"WITH {ivf} {_SHOWN} FROM found",
         "ivf_recall": f"WITH {_TRUTH}, {ivf} {_recall_sql(10)}",
-        "result_invariants": f"WITH {_TRUTH} SELECT query_id FROM truth GROUP BY query_id HAVING count(*) <> 10 OR count(DISTINCT id) <> 10 OR min(id) < 0 OR max(id) >= (SELECT count(*) FROM embeddings)",
+        "result_invariants": "SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 500 IN (100, 200, 300)",
         "embedding_parity": """WITH p AS (
   SELECT vec_id AS id, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS kind, CAST(embedding AS DOUBLE[]) AS a,
     CAST(list_transform(embedding, lambda x: CAST(round(x, 2) AS FLOAT)) AS DOUBLE[]) AS b FROM embeddings),

@@ -62,6 +62,28 @@ def read_cache(
     return vectors.select("row_id", vf.normalize(F.col("embedding")).alias("embedding"))
 
 
+def bound_cache(spark: SparkSession, path: str, source_path: str, fingerprint: str | None = None) -> DataFrame:
+    """:func:`read_cache` of a cache that was made of the file at
+    ``source_path``: its size and digest are computed anew."""
+    from vesperine.sources.text import source_identity
+
+    found = source_identity(spark, source_path).filter("size > 0").collect()
+    if len(found) != 1:
+        raise ValueError("a cache is bound to one file")
+    return read_cache(spark, path, fingerprint, source=(found[0]["size"], found[0]["sha256"]))
+
+
+def cache_faults(spark: SparkSession, path: str, declared: dict) -> list[str]:
+    """Which declared properties of a shared cache are not what it holds."""
+    one = spark.read.schema(IDENTITY).parquet(f"{path}/identity").first().asDict()
+    faults = sorted(name for name, value in declared.items() if one.get(name) != value)
+    try:
+        read_cache(spark, path)
+    except ValueError:
+        faults.append("vectors")
+    return faults
+
+
 def extend_cache(done: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows that a resumed run still has to embed."""
     return wanted.join(done.select("row_id"), "row_id", "left_anti")
