@@ -559,3 +559,13 @@ def test_kernel_equals_sets_of_ngrams():
     got = langid._kernel(langid._presence(langid._FOLD[buf], off, model.grams, langid._lookup(model.grams)), model.landmarks)
     want = {tuple(sorted(m)): [len(m & grams(t)) / max(1, (len(m) * len(own & grams(t)))) ** 0.5 for t in texts] for m in marks}
     assert np.allclose(sorted(got.T.tolist()), sorted(want[tuple(sorted(m))] for m in marks), atol=1e-5)
+
+
+def test_two_step_exchange_gives_the_same_rows(spark):
+    """Beyond ``fan`` receivers, messages are packed and sorted in between."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = frame(spark, [(1000 + r[0], *r[1:]) for r in odd_rows()]).select("doc_id", "text")
+    docs = docs.union(odd).union(spark.createDataFrame([(None, "null id " * 30)], docs.schema))
+    for op, size in ((suffix_dedup.suffix_dedup, 40_000), (chunk_dedup.chunk_dedup, 40_000), (ctw.score, 60_000)):
+        one, two = (sorted(map(str, op(docs, block_bytes=size, fan=fan).collect())) for fan in (2048, 2))
+        assert one == two and len(one) == docs.count()

@@ -95,23 +95,24 @@ class _Block:
         self.first = order[fresh]  # the block's first chunk of each digest: rows are in id order
 
 
-def _ask(docs: DataFrame, n: int) -> DataFrame:
+def _ask(docs: DataFrame, via: bl.Exchange) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         b = _Block(table)
         doc, place = b.ids[b.row[b.first]], b.start[b.first]
-        out = [(h, np.concatenate([b.keys[p].ravel(), doc[p].view(np.uint64), place[p].view(np.uint64)]).tobytes()) for h, p in bl.buckets(b.keys[:, 0], n)]
-        return bl.message([h for h, _ in out], [block] * len(out), [d for _, d in out])
+        out = [(h, np.concatenate([b.keys[p].ravel(), doc[p].view(np.uint64), place[p].view(np.uint64)]).tobytes()) for h, p in bl.buckets(b.keys[:, 0], via.n)]
+        return via.dispatched(bl.message([h for h, _ in out], [block] * len(out), [d for _, d in out]), "bucket")
 
     return docs.groupBy("block").applyInArrow(run, bl.MESSAGE)
 
 
-def _answer(asked: DataFrame) -> DataFrame:
+def _answer(asked: DataFrame, via: bl.Exchange) -> DataFrame:
     """A bit per digest: an earlier document elsewhere has it; then the block
     and the place of those. Of blocks with one least document (rows that repeat
     an id), the least block is first."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = via.opened(table)
         raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["data"]]
         size = [len(x) // 4 for x in raw]
         pairs = np.concatenate([x[: 2 * k].reshape(-1, 2) for x, k in zip(raw, size)])
@@ -128,15 +129,15 @@ def _answer(asked: DataFrame) -> DataFrame:
         source = np.stack([block[least], place[least]], axis=1)
         ends = np.cumsum(size)[:-1]
         data = [np.packbits(x).tobytes() + y[x].tobytes() for x, y in zip(np.split(later, ends), np.split(source, ends))]
-        return bl.message(table["bucket"].to_pylist(), table["block"].to_pylist(), data)
+        return via.dispatched(bl.message(table["bucket"].to_pylist(), table["block"].to_pylist(), data), "block")
 
-    return asked.groupBy("bucket").applyInArrow(run, bl.MESSAGE)
+    return via.delivered(asked, "bucket").groupBy("bucket").applyInArrow(run, bl.MESSAGE)
 
 
 _RUN = 7  # row, start, end, then block and place of the first and of the last chunk's source
 
 
-def _find(docs: DataFrame, answers: DataFrame, n: int, within: bool) -> DataFrame:
+def _find(docs: DataFrame, answers: DataFrame, via: bl.Exchange, within: bool) -> DataFrame:
     """Each block's chunks per document and runs of repeated chunks, to itself
     (bucket -1); and to each source block, which places it is asked for."""
 
@@ -147,8 +148,9 @@ def _find(docs: DataFrame, answers: DataFrame, n: int, within: bool) -> DataFram
         b = _Block(table)
         elsewhere = np.zeros(len(b.keys), dtype=bool)
         source = np.stack([np.full(len(b.keys), me), b.start[b.first]], axis=1)
+        told = via.opened(told)
         answer = dict(zip(told["bucket"].to_pylist(), told["data"]))
-        for home, p in bl.buckets(b.keys[:, 0], n):
+        for home, p in bl.buckets(b.keys[:, 0], via.n):
             if home in answer:
                 raw = answer[home].as_buffer()
                 size = -(-len(p) // 8)
@@ -164,11 +166,11 @@ def _find(docs: DataFrame, answers: DataFrame, n: int, within: bool) -> DataFram
         runs[:, 6] += b.end[y] - b.start[y]  # a right side begins where the chunk ends
         chunks = np.bincount(b.row, minlength=len(b.ids)).astype(np.int64)
         asks, _ = _asks(runs, me)
-        to = [-1, *np.unique(asks[:, 0]).tolist()]
-        data = [chunks.tobytes() + runs.tobytes()] + [np.ascontiguousarray(asks[asks[:, 0] == k, 1:]).tobytes() for k in to[1:]]
-        return bl.message(to, [me] * len(to), data)
+        to = np.unique(asks[:, 0]).tolist()
+        asked = bl.message(to, [me] * len(to), [np.ascontiguousarray(asks[asks[:, 0] == k, 1:]).tobytes() for k in to])
+        return pa.concat_tables([bl.message([-1], [me], [chunks.tobytes() + runs.tobytes()]), via.dispatched(asked, "bucket")])
 
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, bl.MESSAGE)
+    return docs.groupBy("block").cogroup(via.delivered(answers, "block").groupBy("block")).applyInArrow(run, bl.MESSAGE)
 
 
 def _asks(runs: np.ndarray, me: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,20 +195,20 @@ def _beside(buf: np.ndarray, off: np.ndarray, at: np.ndarray, right: np.ndarray)
     return np.where(step < size[:, None], buf[where.clip(0, len(buf) - 1)], 0).astype(np.uint8), size
 
 
-def _reply(docs: DataFrame, asked: DataFrame) -> DataFrame:
+def _reply(docs: DataFrame, asked: DataFrame, via: bl.Exchange) -> DataFrame:
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
         if not table.num_rows or not asked.num_rows:
             return bl.message([], [], [])
         me = table["block"][0].as_py()
         buf, off = tb.column(bl.ordered(table)["text"])
-        data = []
+        asked, data = via.opened(asked), []
         for x in asked["data"]:
             place = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2)
             parts = [_beside(buf, off, place[k : k + 4096, 0], place[k : k + 4096, 1] > 0) for k in range(0, len(place), 4096)]
             data.append(np.concatenate([z for _, z in parts]).astype(np.uint16).tobytes() + b"".join(z.tobytes() for z, _ in parts))
-        return bl.message([me] * len(data), asked["block"].to_pylist(), data)
+        return via.dispatched(bl.message([me] * len(data), asked["block"].to_pylist(), data), "block")
 
-    return docs.groupBy("block").cogroup(asked.groupBy("bucket")).applyInArrow(run, bl.MESSAGE)
+    return docs.groupBy("block").cogroup(via.delivered(asked, "bucket").groupBy("bucket")).applyInArrow(run, bl.MESSAGE)
 
 
 def _extended(runs: np.ndarray, me: int, buf: np.ndarray, off: np.ndarray, replies: dict[int, pa.Scalar]) -> np.ndarray:
@@ -238,7 +240,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _OUT = "doc_id long, n_bytes long, n_chunks long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
 
 
-def _cut(docs: DataFrame, told: DataFrame, passage: int) -> DataFrame:
+def _cut(docs: DataFrame, told: DataFrame, via: bl.Exchange, passage: int) -> DataFrame:
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if table.num_rows:
@@ -246,6 +248,7 @@ def _cut(docs: DataFrame, told: DataFrame, passage: int) -> DataFrame:
             table = bl.ordered(table)
             ids = table["doc_id"].to_numpy()
             buf, off = tb.column(table["text"])
+            told = via.opened(told)
             data = dict(zip(told["bucket"].to_pylist(), told["data"]))
             own = np.frombuffer(data.pop(-1).as_buffer(), np.int64)
             chunks, runs = own[: len(ids)], own[len(ids) :].reshape(-1, _RUN)
@@ -290,6 +293,7 @@ def chunk_dedup(
     passage: int = PASSAGE,
     within: bool = True,
     block_bytes: int = bl.BLOCK_BYTES,
+    fan: int = bl.FAN,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_chunks, n_removed, spans,
     kept_text``. ``spans`` are removed byte ranges, on character bounds.
@@ -305,8 +309,9 @@ def chunk_dedup(
     null id is less than all others; rows that repeat an id count as one
     document and remove nothing from each other. An empty table gives no rows.
     """
-    rows, n = bl.blocked(docs, id_col, text_col, block_bytes)
-    found = write_shared(_find(rows, _answer(_ask(rows, n)), n, within), "chunk-runs")
-    told = found.filter("bucket < 0").unionByName(_reply(rows, found.filter("bucket >= 0")))
-    out = _cut(rows, told, passage)
+    rows, via = bl.blocked(docs, id_col, text_col, block_bytes, fan)
+    found = write_shared(_find(rows, _answer(_ask(rows, via), via), via, within), "chunk-runs")
+    replies = _reply(rows, found.filter("bucket >= 0"), via)
+    told = found.filter("bucket < 0").unionByName(via.delivered(replies, "block"))
+    out = _cut(rows, told, via, passage)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(bl.NO_ID))).withColumnRenamed("doc_id", id_col)

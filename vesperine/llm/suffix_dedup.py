@@ -206,7 +206,7 @@ class _Block:
         return np.bincount(self.inverse[one], minlength=len(self.keys))
 
 
-def _ask(docs: DataFrame, n: int, length: int, anchor: int) -> DataFrame:
+def _ask(docs: DataFrame, via: bl.Exchange, length: int, anchor: int) -> DataFrame:
     """Each block's names, 32 bits each within a bucket (a chance agreement
     only costs a look at text), and how many different runs each has."""
 
@@ -214,8 +214,8 @@ def _ask(docs: DataFrame, n: int, length: int, anchor: int) -> DataFrame:
         block = table["block"][0].as_py()
         b = _Block(table, length, anchor)
         weight = b.weights(length).clip(max=65535).astype(np.uint16)
-        out = [(home, _short(b.keys[p]).tobytes() + weight[p].tobytes()) for home, p in bl.buckets(b.keys, n)]
-        return bl.message([home for home, _ in out], [block] * len(out), [data for _, data in out])
+        out = [(home, _short(b.keys[p]).tobytes() + weight[p].tobytes()) for home, p in bl.buckets(b.keys, via.n)]
+        return via.dispatched(bl.message([home for home, _ in out], [block] * len(out), [data for _, data in out]), "bucket")
 
     return docs.groupBy("block").applyInArrow(run, bl.MESSAGE)
 
@@ -224,11 +224,12 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(13)).astype(np.uint32)
 
 
-def _answer(asked: DataFrame, hot: int) -> DataFrame:
+def _answer(asked: DataFrame, via: bl.Exchange, hot: int) -> DataFrame:
     """Which of each block's names another block also has, and which of those
     are hot: two bits each."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = via.opened(table)
         raw = [x.as_buffer() for x in table["data"]]
         size = [x.size // 6 for x in raw]
         keys = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(raw, size)])
@@ -238,9 +239,9 @@ def _answer(asked: DataFrame, hot: int) -> DataFrame:
         heavy = (np.bincount(inverse, weights=weight) > hot)[inverse]
         ends = np.cumsum(size)[:-1]
         bits = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared, ends), np.split(heavy, ends))]
-        return pa.table([table["bucket"], table["block"], pa.array(bits, pa.binary())], names=["bucket", "block", "data"])
+        return via.dispatched(bl.message(table["bucket"].to_numpy(), table["block"].to_numpy(), bits), "block")
 
-    return asked.groupBy("bucket").applyInArrow(run, bl.MESSAGE)
+    return via.delivered(asked, "bucket").groupBy("bucket").applyInArrow(run, bl.MESSAGE)
 
 
 # A message: counts of texts and rows, the texts' names, documents and windows,
@@ -250,7 +251,7 @@ _TEXT = np.dtype([("name", "<u8"), ("doc", "<i8"), ("count", "u1")])
 _ROW = np.dtype([("text", "<u4"), ("row", "<u4"), ("first", "<u4")])
 
 
-def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int) -> DataFrame:
+def _send(docs: DataFrame, answers: DataFrame, via: bl.Exchange, length: int, anchor: int) -> DataFrame:
     """Runs of shared names, to their buckets; what the block itself can
     decide goes straight on, in a bucket of its own (-1 - block)."""
 
@@ -260,8 +261,9 @@ def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int)
         block = table["block"][0].as_py()
         b = _Block(table, length, anchor)
         shared, hot = b.high > b.low, np.zeros(len(b.keys), dtype=bool)
+        told = via.opened(told)
         bits = dict(zip(told["bucket"].to_pylist(), told["data"]))
-        for home, p in bl.buckets(b.keys, n):
+        for home, p in bl.buckets(b.keys, via.n):
             if home in bits:
                 two = np.frombuffer(bits[home].as_buffer(), np.uint8).reshape(2, -1)
                 shared[p] |= np.unpackbits(two[0], count=len(p)).astype(bool)
@@ -283,7 +285,7 @@ def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int)
             gone = b.ids[doc[rep]] < b.ids[doc]
             local.append(np.stack([doc[gone], first[gone] - b.off[doc[gone]], count[gone]]))
             stay = np.flatnonzero(~gone)
-            for home, p in bl.buckets(name[stay], n):
+            for home, p in bl.buckets(name[stay], via.n):
                 rows = stay[p]
                 text, index = np.unique(rep[rows], return_inverse=True)
                 head, row = np.zeros(len(text), _TEXT), np.zeros(len(rows), _ROW)
@@ -296,9 +298,9 @@ def _send(docs: DataFrame, answers: DataFrame, n: int, length: int, anchor: int)
         if removed.size:
             out_b.append(-1 - block)
             out_d.append(_spans(*removed))
-        return bl.message(out_b, [block] * len(out_b), out_d)
+        return via.dispatched(bl.message(out_b, [block] * len(out_b), out_d), "bucket")
 
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, bl.MESSAGE)
+    return docs.groupBy("block").cogroup(via.delivered(answers, "block").groupBy("block")).applyInArrow(run, bl.MESSAGE)
 
 
 def _spans(row: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
@@ -357,12 +359,14 @@ def _hits(text: np.ndarray, rep: np.ndarray, body: np.ndarray, start: np.ndarray
     return out
 
 
-def _decide(sent: DataFrame, length: int) -> DataFrame:
+def _decide(sent: DataFrame, via: bl.Exchange, length: int) -> DataFrame:
     """The removed windows of each block: (row in the block, first, count)."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() < 0:
-            return table.select(["bucket", "block", "data"])
+        table = via.opened(table)
+        bucket = table["bucket"][0].as_py()
+        if bucket < 0:
+            return via.dispatched(table, "block")
         text, origin, row, body, start = _received(table, length)
         del table
         count = text["count"].astype(np.int64)
@@ -386,12 +390,12 @@ def _decide(sent: DataFrame, length: int) -> DataFrame:
         by_block = np.argsort(home, kind="stable")
         parts = np.split(by_block, np.flatnonzero(np.diff(home[by_block])) + 1)
         data = [_spans(row["row"][at[p]], first[p], n[p]) for p in parts]
-        return bl.message([0] * len(parts), [int(home[p[0]]) for p in parts], data)
+        return via.dispatched(bl.message([bucket] * len(parts), [int(home[p[0]]) for p in parts], data), "block")
 
-    return sent.groupBy("bucket").applyInArrow(run, bl.MESSAGE)
+    return via.delivered(sent, "bucket").groupBy("bucket").applyInArrow(run, bl.MESSAGE)
 
 
-def _cut(docs: DataFrame, removed: DataFrame, length: int) -> DataFrame:
+def _cut(docs: DataFrame, removed: DataFrame, via: bl.Exchange, length: int) -> DataFrame:
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_text binary, kept_sha256 string"
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -400,7 +404,7 @@ def _cut(docs: DataFrame, removed: DataFrame, length: int) -> DataFrame:
         table = bl.ordered(table)
         ids = table["doc_id"].to_numpy()
         buf, off = tb.column(table["text"])
-        spans = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in told["data"]]
+        spans = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in via.opened(told)["data"]]
         edge = np.zeros(len(buf) + 1, np.int32)
         if spans:
             rows = np.concatenate(spans)
@@ -425,7 +429,7 @@ def _cut(docs: DataFrame, removed: DataFrame, length: int) -> DataFrame:
             names=["doc_id", "n_bytes", "spans", "kept_text", "kept_sha256"],
         )
 
-    return docs.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(run, schema)
+    return docs.groupBy("block").cogroup(via.delivered(removed, "block").groupBy("block")).applyInArrow(run, schema)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -437,8 +441,9 @@ def _empty() -> pa.Table:
 
 
 def suffix_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = BLOCK_BYTES, hot: int = HOT
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = BLOCK_BYTES, hot: int = HOT,
+    fan: int = bl.FAN,
+) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, spans, kept_text, kept_sha256``.
 
     Texts are bytes of UTF-8; a null is empty. ``spans`` are the maximal
@@ -448,9 +453,9 @@ def suffix_dedup(
     from each other; a null id is less than all others. Texts shorter than
     ``length`` keep all. An empty table gives no rows.
     """
-    rows, n = bl.blocked(docs, id_col, text_col, block_bytes)
+    rows, via = bl.blocked(docs, id_col, text_col, block_bytes, fan)
     anchor = max(1, min(ANCHOR, length // 2))
-    answers = _answer(_ask(rows, n, length, anchor), hot)
-    removed = _decide(_send(rows, answers, n, length, anchor), length)
-    out = _cut(rows, removed, length)
+    answers = _answer(_ask(rows, via, length, anchor), via, hot)
+    removed = _decide(_send(rows, answers, via, length, anchor), via, length)
+    out = _cut(rows, removed, via, length)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(bl.NO_ID))).withColumnRenamed("doc_id", id_col)
