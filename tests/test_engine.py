@@ -337,3 +337,94 @@ def test_cell_edges_reach_their_recall_with_the_defaults(spark):
     near[np.arange(30), np.arange(30) * 100] = -2
     true = {(100 * k, int(j)) for k, row in enumerate(np.argsort(-near, axis=1)[:, :8]) for j in row}
     assert len(got & true) >= 0.9 * len(true)
+
+
+def test_bench_command(spark, tmp_path, capsys):
+    docs = topic_docs(spark)
+    path = f"file://{tmp_path}/index"
+    (tmp_path / "docs.txt").write_text("\n".join(r.text for r in docs.orderBy("doc_id").collect()))
+    (tmp_path / "queries.txt").write_text("ripe apple orchard\nplanet orbit star\ncompiler source code\n")
+    build = ["build", "--docs", f"file://{tmp_path}/docs.txt", "--index", path, "--hash-dim", "64", "--pq-subquantizers", "16", "--graph-degree", "6", "--format", "json"]
+    assert cli.main(build, spark) == 0 and json.loads(capsys.readouterr().out)["documents"] == 60
+    assert cli.main([*build[:4], f"file://{tmp_path}/docs.txt/x", *build[5:]], spark) == 1  # the index would stand in its documents
+    assert "overwrite" in capsys.readouterr().err
+    embedder = api.hash_embedder(64)
+    asked = ts.read_lines(spark, f"file://{tmp_path}/queries.txt")
+    truth = neighbours.top_k(api.embedded(docs, embedder), api.embedded(asked, embedder).withColumnRenamed("id", "query_id"), 3)
+    ts.write_ground_truth(truth, f"file://{tmp_path}/truth", 3, 60, ts.GROUND_TRUTH)
+    bench = ["bench", "--index", path, "--queries", f"file://{tmp_path}/queries.txt", "--hash-dim", "64", "--ef-search", "60", "--rerank-ratio", "1.0", "--repeat", "2"]
+    bench += ["--warmup", "0", "--report-k", "1", "--csv", f"file://{tmp_path}/rows", "--ground-truth", f"file://{tmp_path}/truth", "--format", "json"]
+    assert cli.main(bench, spark) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["queries"] == 3 and out["recall"] == out["recall_at_1"] == 1.0 and out["exact_recomputations"] == 60
+    assert 0 < out["batch_ms_p50"] <= out["batch_ms_p95"] and out["queries_per_second"] > 0
+    kinds = spark.read.csv(f"file://{tmp_path}/rows", header=True)
+    assert kinds.count() == 3 and {"query_index", "recall", "result_ids", "upper_layer_hops"} <= set(kinds.columns)
+    assert cli.main(["stats", "--index", path + "-none"], spark) == 1
+
+
+def test_simhash_index(spark, tmp_path):
+    docs = topic_docs(spark, 150)
+    seen = []
+    config = search.BuildConfig(graph_degree=12, low_degree=5, hub_ratio=0.04, sketch_bits=192, approx="simhash")
+    index = api.VectorIndex.build(docs, f"file://{tmp_path}/index", api.hash_embedder(256), config, progress=lambda phase, n: seen.append((phase, n)))
+    assert seen == [("embedded", 150), ("compressed", 150), ("linked", 150), ("published", 150)]
+    asked = spark.createDataFrame([(0, "ripe apple orchard fruit")], "query_id long, text string")
+    found, metrics = index.search(asked, None, search.SearchConfig(top_k=5, ef_search=30, rerank_ratio=0.5))
+    assert len(rows := found.collect()) == 5 and all(r.doc_id % 3 == 0 for r in rows)
+    assert metrics.first().exact_recomputations == 30
+    stats = index.stats().first()
+    assert stats.code_bytes == 150 * 24 and stats.index_bytes > 0
+
+    def stop(phase, n):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        api.VectorIndex.build(docs, f"file://{tmp_path}/stopped", api.hash_embedder(256), config, progress=stop)
+    with pytest.raises(publish.InvalidIndex):
+        api.VectorIndex.load(spark, f"file://{tmp_path}/stopped")
+    with pytest.raises(api.FingerprintMismatch):
+        api.embedder_of("nobody:7")
+
+
+def test_spread_seeds():
+    points = np.repeat(np.eye(4), 5, axis=0)
+    assert len(np.unique(quantize.spread_seeds(points, 4, 1), axis=0)) == 4  # a chosen point has no chance any more
+    assert quantize.spread_seeds(np.zeros((3, 2)), 5, 1).shape == (5, 2)
+
+
+def test_long_strings_have_the_same_checksum():
+    rng = np.random.default_rng(1)
+    values = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 1023, 1024, 1025, 5000, 40_000)]
+    table = hashing._crc_table()
+    for value, got in zip(values, hashing.crc32c_of(values)):
+        crc = 0xFFFFFFFF
+        for byte in value:
+            crc = int(table[(crc ^ byte) & 0xFF]) ^ (crc >> 8)
+        assert crc ^ 0xFFFFFFFF == got
+
+
+def test_strict_sources(spark, tmp_path):
+    docs = topic_docs(spark, 20)
+    documents.write(docs, f"{tmp_path}/store", 3)
+    store = documents.open_store(spark, f"{tmp_path}/store")
+    with pytest.raises(Exception, match="no document 99"):
+        documents.read_many(store, spark.createDataFrame([(0, 5), (1, 99)], "ord int, doc_id long")).collect()
+    with pytest.raises(ValueError):
+        documents.open_store(spark, _written(docs.drop("text"), f"{tmp_path}/other"))
+    broken = spark.range(1).select(F.unhex(F.lit("61C0AF")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="UTF-8"):
+        broken.select(ts.as_json(F.col("x"))).collect()
+    for k in range(3):  # files in the order of their names, whatever their sizes
+        (tmp_path / f"part-{k}.txt").write_text("\n".join(f"{k} {i}" for i in range(5 * (3 - k))))
+    lines = ts.read_lines(spark, f"{tmp_path}/part-*.txt").orderBy("doc_id").collect()
+    assert [r.text for r in lines] == [f"{k} {i}" for k in range(3) for i in range(5 * (3 - k))] and [r.doc_id for r in lines] == list(range(30))
+    with pytest.raises(Exception, match="constraint"):
+        ts.staged(spark.createDataFrame([(1, "x", 2)], "id long, text string, n_bytes int"), "v").collect()
+    with pytest.raises(ValueError):
+        api.VectorIndex.build(spark.createDataFrame([(None, "x")], "doc_id long, text string"), f"{tmp_path}/i", api.hash_embedder(64), search.BuildConfig(pq_parts=16))
+
+
+def _written(df, path):
+    df.write.parquet(path)
+    return path

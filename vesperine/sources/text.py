@@ -198,8 +198,10 @@ def report_markdown(rows: DataFrame, columns: list[str]) -> DataFrame:
 def as_json(*columns: Column) -> Column:
     """One JSON object, null fields left out; text that is not valid UTF-8 is an
     error."""
-    whole = F.to_json(F.struct(*columns))
-    return F.when(F.is_valid_utf8(whole), whole).otherwise(F.raise_error(F.lit("a field is not valid UTF-8")).cast("string"))
+    wrong = F.lit(False)
+    for column in columns:
+        wrong = wrong | ~F.coalesce(F.is_valid_utf8(column.cast("string")), F.lit(True))
+    return F.when(wrong, F.raise_error(F.lit("a field is not valid UTF-8")).cast("string")).otherwise(F.to_json(F.struct(*columns)))
 
 
 def union_of_keys(frames: list[DataFrame]) -> DataFrame:
