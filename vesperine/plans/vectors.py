@@ -209,6 +209,18 @@ def graph_levels(spark, sf_dir):
     return vectors(spark, sf_dir).select(graph.level(F.col("id"), 16).alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def graph_upper_layers(spark, sf_dir):
+    return graph.layers(vectors(spark, sf_dir).select("id", "v"), DEGREE).select("level", "src", "ord", "dst")
+
+
+def graph_routing(spark, sf_dir):
+    """Where greedy descent of the upper layers ends, and its moves."""
+    rows = vectors(spark, sf_dir).select("id", "v")
+    upper = write_shared(graph.layers(rows, DEGREE), "layers")
+    at = search.route(upper, rows, asked(spark, sf_dir).select("query_id", "v"), graph.entry_point(rows))
+    return at.select("query_id", F.col("id").alias("vec_id"), "hops", _rounded(F.col("distance")))
+
+
 def graph_entry_point(spark, sf_dir):
     return graph.entry_point(vectors(spark, sf_dir))
 
@@ -282,7 +294,7 @@ QUERIES = (
     vector_norms, vector_normalize, cosine_pairs, squared_l2_pairs, knn_exact_topk, knn_label_agreement, ground_truth_long,
     ground_truth_rows, simhash_sketch, simhash_hamming_topk, simhash_recall, pq_codebook, pq_encode, pq_adc_topk, pq_rerank_topk,
     pq_rerank_recall, pq_code_bytes, knn_graph_edges, cell_graph_recall, graph_hubs, graph_pruned, graph_csr_offsets, graph_degree_stats, graph_khop,
-    graph_levels, graph_entry_point, graph_beam_search, graph_beam_recall, search_budget_metrics, ivf_topk, ivf_recall,
+    graph_levels, graph_upper_layers, graph_routing, graph_entry_point, graph_beam_search, graph_beam_recall, search_budget_metrics, ivf_topk, ivf_recall,
     result_invariants, recall_summary, embedding_parity,
 )
 
@@ -380,6 +392,48 @@ graph AS (
       SELECT src, dst, distance FROM kept UNION SELECT dst, src, distance FROM kept))
   WHERE k <= {2 * DEGREE})"""
 _LEVEL = f"CAST(least(floor(-ln(greatest(CAST(('0x' || substr(sha256('level-42:' || vec_id), 1, 12))::BIGINT AS DOUBLE) / {float(2**48)!r}, {2.0**-48!r}::DOUBLE)) / ln(16.0::DOUBLE)), 16) AS INT)"
+_UPPER = f"""
+node AS (SELECT vec_id, embedding, {_LEVEL} AS top FROM embeddings),
+up AS (
+  SELECT level, src, ord, dst FROM (
+    SELECT CAST(l.level AS INT) AS level, q.vec_id AS src, e.vec_id AS dst, CAST(row_number() OVER (PARTITION BY l.level, q.vec_id ORDER BY {_DIST}, e.vec_id) AS INT) AS ord
+    FROM range(1, 17) l(level) JOIN node q ON q.top >= l.level JOIN node e ON e.top >= l.level AND e.vec_id <> q.vec_id)
+  WHERE ord <= {DEGREE})"""
+_ROUTE = f"""
+asks AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+near AS (
+  SELECT query_id, level, src, arg_min(dst, (d, dst)) AS dst, min(d) AS d FROM (
+    SELECT q.query_id, level, src, dst, {_DIST} AS d FROM up JOIN embeddings e ON e.vec_id = dst, asks q) GROUP BY ALL),
+top AS (SELECT vec_id, {_LEVEL} AS level, embedding FROM embeddings ORDER BY level DESC, sha256('level-42:' || vec_id) LIMIT 1),
+w AS (
+  SELECT q.query_id, e.vec_id AS id, e.level, {_DIST} AS d, 0 AS hops FROM asks q, top e
+  UNION ALL
+  SELECT w.query_id, CASE WHEN better THEN n.dst ELSE w.id END, CASE WHEN better THEN w.level ELSE w.level - 1 END, CASE WHEN better THEN n.d ELSE w.d END, w.hops + CAST(better AS INT)
+  FROM (SELECT w.*, coalesce((n.d, n.dst) < (w.d, w.id), false) AS better FROM w LEFT JOIN near n ON n.query_id = w.query_id AND n.level = w.level AND n.src = w.id WHERE w.level > 0) w
+  LEFT JOIN near n ON n.query_id = w.query_id AND n.level = w.level AND n.src = w.id)"""
+# The walk, a level of all beams at a time: what each query has met, and what of
+# its beam is expanded.
+_BEAM = f"""
+dist AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DIST} AS d FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+seed AS (SELECT vec_id AS id FROM embeddings ORDER BY sha256('seeds-42:' || vec_id), vec_id LIMIT 64),
+start AS (
+  SELECT query_id, id, d FROM w WHERE level = 0 UNION
+  SELECT query_id, id, d FROM (SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS k FROM dist JOIN seed USING (id)) WHERE k <= 4),
+b AS (
+  SELECT query_id, 0 AS step, list({{'d': d, 'id': id, 'done': false}}) AS v FROM start GROUP BY query_id
+  UNION ALL
+  SELECT f.query_id, f.step + 1, list_concat(list_transform(f.v, lambda x: {{'d': x.d, 'id': x.id, 'done': x.done OR list_contains(f.front, x.id)}}), coalesce(n.new, []))
+  FROM (SELECT *, list_transform(list_filter(list_sort(v)[1:192], lambda x: NOT x.done), lambda x: x.id) AS front FROM b) f
+  LEFT JOIN (
+    SELECT query_id, list({{'d': d, 'id': dst, 'done': false}}) AS new FROM (
+      SELECT DISTINCT s.query_id, g.dst, p.d
+      FROM (SELECT query_id, v, unnest(list_transform(list_filter(list_sort(v)[1:192], lambda x: NOT x.done), lambda x: x.id)) AS src FROM b) s
+      JOIN graph g ON g.src = s.src JOIN dist p ON p.query_id = s.query_id AND p.id = g.dst
+      WHERE NOT list_contains(list_transform(s.v, lambda x: x.id), g.dst)) GROUP BY query_id) n ON n.query_id = f.query_id
+  WHERE len(f.front) > 0),
+walked AS (
+  SELECT query_id, x.id AS id, x.d AS d, row_number() OVER (PARTITION BY query_id ORDER BY x.d, x.id) AS rank FROM (
+    SELECT query_id, unnest(v) AS x FROM (SELECT query_id, arg_max(v, step) AS v FROM b GROUP BY query_id)))"""
 _ANCHOR = "SELECT e.vec_id, q.vec_id AS anchor, {} AS distance FROM embeddings e JOIN (SELECT label, min(vec_id) AS a FROM embeddings GROUP BY label) USING (label) JOIN embeddings q ON q.vec_id = a"
 _NORM = "sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))"
 
@@ -437,6 +491,13 @@ h3 AS (SELECT DISTINCT query_id, dst AS id, 3 AS hop FROM h2 JOIN graph ON src =
 a AS (SELECT query_id, id, min(hop) AS hop FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2 UNION ALL FROM h3) GROUP BY query_id, id)
 SELECT query_id, hop, count(*) AS nodes FROM a GROUP BY query_id, hop""",
         "graph_levels": f"SELECT {_LEVEL} AS level, count(*) AS nodes FROM embeddings GROUP BY 1",
+        "graph_upper_layers": f"WITH {_UPPER} SELECT level, src, ord, dst FROM up",
+        "graph_beam_search": f"""WITH RECURSIVE {_EDGES}, {_UPPER}, {_ROUTE}, {_BEAM}
+SELECT query_id, CAST(rank AS INT) AS rank, id AS vec_id, round(CAST(d AS DOUBLE), 5) + 0.0::DOUBLE AS distance FROM walked WHERE rank <= 10""",
+        "graph_beam_recall": f"""WITH RECURSIVE {_EDGES}, {_UPPER}, {_ROUTE}, {_BEAM}, {_TRUTH}, found AS (SELECT query_id, id, rank FROM walked WHERE rank <= 10)
+{_recall_sql(10)}""",
+        "graph_routing": f"""WITH RECURSIVE {_UPPER}, {_ROUTE}
+SELECT query_id, id AS vec_id, hops, round(CAST(d AS DOUBLE), 5) + 0.0::DOUBLE AS distance FROM w WHERE level = 0""",
         "graph_entry_point": f"SELECT vec_id AS id, {_LEVEL} AS level FROM embeddings ORDER BY level DESC, sha256('level-42:' || vec_id) LIMIT 1",
         "search_budget_metrics": "SELECT count(*) AS n, least(128, count(*)) AS exact_budget, least(count(*), greatest(least(128, count(*)), CAST(ceil(least(128, count(*)) / 0.25) AS BIGINT))) AS beam, CAST(ceil(least(128, count(*)) / 16.0) AS BIGINT) AS batches FROM embeddings",
         "ivf_topk": f"WITH {ivf} {_SHOWN} FROM found",
