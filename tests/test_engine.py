@@ -387,6 +387,29 @@ def test_simhash_index(spark, tmp_path):
         api.embedder_of("nobody:7")
 
 
+def test_intermediate_tables_go(spark):
+    """What a kept table was made of is deleted; the table itself stays."""
+    from vesperine.sources import storage
+
+    seen = []
+
+    def make():
+        inner = storage.write_shared(spark.range(5).toDF("x"), "inner")
+        seen.append(inner.inputFiles()[0].rpartition("/")[0])
+        seen.append(storage.kept(spark, lambda: inner, "nested").inputFiles()[0].rpartition("/")[0])
+        return inner.withColumn("y", F.col("x") + 1)
+
+    out = storage.kept(spark, make, "outer")
+    assert sorted(map(tuple, out.collect())) == [(k, k + 1) for k in range(5)]
+    assert not any(storage.exists(spark, path) for path in seen)
+
+
+def test_hubs_of_tied_degrees(spark):
+    edges = spark.createDataFrame([(k, (k + 1) % 50) for k in range(50)], "src long, dst long")  # all of degree 2
+    got = graph.hubs(edges, spark.range(50), 0.3, slice_rows=4)
+    assert sorted(r.id for r in got.filter("is_hub").collect()) == list(range(15))
+
+
 def test_spread_seeds():
     points = np.repeat(np.eye(4), 5, axis=0)
     assert len(np.unique(quantize.spread_seeds(points, 4, 1), axis=0)) == 4  # a chosen point has no chance any more

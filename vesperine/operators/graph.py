@@ -81,13 +81,13 @@ def knn_edges_in_cells(vectors: DataFrame, degree: int, bits: int = 8, nprobe: i
     return found.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= degree).select("src", "dst", "distance")
 
 
-def hubs(edges: DataFrame, nodes: DataFrame, ratio: float) -> DataFrame:
+def hubs(edges: DataFrame, nodes: DataFrame, ratio: float, slice_rows: int = 1 << 16) -> DataFrame:
     """``id, degree, is_hub``: of the nodes by (in and out) degree, then id, the
     first ceil(ratio * N), at least one, are hubs; none if the ratio is 0.
 
     The rank is found without a global sort: degrees are few, so the degree at
     which the hubs run out is found on their histogram, and only nodes of that
-    one degree are ordered."""
+    one degree are ordered, within ranges of ids that are counted first."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     degree = nodes.select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
@@ -99,8 +99,11 @@ def hubs(edges: DataFrame, nodes: DataFrame, ratio: float) -> DataFrame:
     want = F.greatest(F.lit(1), F.ceil(F.lit(ratio) * F.col("total")).cast("long"))
     size = size.withColumn("left", want - F.col("above")).select("degree", "n", "left")
     ranked = degree.join(F.broadcast(size), "degree")  # one row per distinct degree
-    cut = Window.partitionBy("degree").orderBy("id")
-    edge = ranked.filter("left > 0 and left < n").withColumn("k", F.row_number().over(cut)).filter("k <= left").select("id", F.lit(True).alias("tie"))
+    tied = ranked.filter("left > 0 and left < n").withColumn("r", F.floor(F.col("id") / F.lit(slice_rows)))
+    sums = tied.groupBy("r", "left").agg(F.count(F.lit(1)).alias("c"))
+    sums = sums.withColumn("base", F.sum("c").over(Window.orderBy("r")) - F.col("c")).filter("base < left").select("r", "base")
+    place = F.col("base") + F.row_number().over(Window.partitionBy("r").orderBy("id"))
+    edge = tied.join(sums, "r").withColumn("k", place).filter("k <= left").select("id", F.lit(True).alias("tie"))
     return ranked.join(edge, "id", "left").select("id", "degree", ((F.col("left") >= F.col("n")) | F.coalesce("tie", F.lit(False))).alias("is_hub"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+_SCOPES: list[str] = []  # of the calls of kept() that are under way, innermost last
+
+
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/vesperine/{spark.sparkContext.applicationId}"
+    return "/".join([f"{shared_dir(spark)}/vesperine/{spark.sparkContext.applicationId}", *_SCOPES])
+
+
+def kept(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Write what ``make()`` returns to the shared folder and read it back;
+    every intermediate table that it wrote on the way is deleted."""
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCOPES.append(f"scope-{uuid.uuid4().hex}")
+    inner = _folder(spark)
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        _SCOPES.pop()
+        delete(spark, inner)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> None:
