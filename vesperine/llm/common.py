@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesperine.sources.storage import drop_shared, shared_dir, write_shared
+from vesperine.sources.storage import drop_shared, kept, shared_dir, write_shared
 
 __all__ = [
-    "BROADCAST_IDS", "by_row", "crc_mod", "drop_shared", "joined_to_groups", "long_id", "parts_for", "shared_dir", "text_bytes", "without",
+    "BROADCAST_IDS", "by_row", "crc_mod", "drop_shared", "joined_to_groups", "kept", "long_id", "parts_for", "shared_dir", "text_bytes", "without",
     "write_shared",
 ]
 
@@ -47,11 +47,11 @@ def crc_mod(column: Column, modulus: int) -> Column:
 BROADCAST_IDS = 4_000_000
 
 
-def without(docs: DataFrame, id_col: str, dropped: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """The rows whose id is not among ``dropped`` (one column). A null id is
-    never among them. The ids are counted first: few are broadcast, so that no
-    text moves; more are joined by a shuffle."""
-    ids = write_shared(dropped.toDF("__drop").filter("__drop is not null").distinct(), "dropped-ids")
+def without(docs: DataFrame, id_col: str, dropped: Callable[[], DataFrame], most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows whose id is not among those that ``dropped()`` gives (one
+    column). A null id is never among them. The ids are counted first: few are
+    broadcast, so that no text moves; more are joined by a shuffle."""
+    ids = kept(docs.sparkSession, lambda: dropped().toDF("__drop").filter("__drop is not null").distinct(), "dropped-ids")
     few = ids.count() <= most
     return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["__drop"], "left_anti")
 
@@ -65,7 +65,7 @@ def by_row(docs: DataFrame, id_col: str, dropped: Callable[[DataFrame, str], Dat
     kind = docs.schema[id_col].dataType.typeName()
     repeats = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
     if kind in _INTEGERS and repeats.isEmpty():
-        return without(docs, id_col, dropped(docs, id_col))
+        return without(docs, id_col, lambda: dropped(docs, id_col))
     row = "__row"
     while row in docs.columns:
         row += "_"
@@ -74,7 +74,7 @@ def by_row(docs: DataFrame, id_col: str, dropped: Callable[[DataFrame, str], Dat
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.repartitionByRange(parts, *order).sortWithinPartitions(F.col(id_col).asc_nulls_last())
     rows = write_shared(rows.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    return without(rows, row, dropped(rows, row)).drop(row)
+    return without(rows, row, lambda: dropped(rows, row)).drop(row)
 
 
 def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, least_hot: int = 10_000) -> DataFrame:
