@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vesperine.llm import decontaminate, exact_dedup, langid, minhash, mixing
-from vesperine.llm.common import write_shared
+from vesperine.llm.common import drop_shared, kept
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language cannot be told."""
+    """Documents go whose language cannot be told: letterless ones, and those
+    in no language that was learnt (code, gibberish, other scripts)."""
     return langid.keep_identified(docs)
 
 
@@ -53,6 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = write_shared(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        docs = kept(spark, lambda: stage(spark, before, sf_dir), f"stage-{name}")  # noqa: B023  called at once
+        if k:
+            drop_shared(before)
     return STAGES[-1][1](spark, docs, sf_dir)
