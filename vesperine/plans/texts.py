@@ -239,7 +239,7 @@ def oracles() -> dict[str, str]:
         "fnv1a_features": f"WITH {_FEATURES} SELECT doc_id, count(*) AS cells, CAST(sum(weight) AS BIGINT) AS total, CAST(sum(weight * (pos + 1)) AS BIGINT) AS weighed FROM sparse GROUP BY doc_id",
         "text_search_topk": f"""WITH {_FEATURES},
 e AS (SELECT doc_id, pos, CAST(CAST(CAST(weight AS DOUBLE) / sqrt(CAST(sum(weight * weight) OVER (PARTITION BY doc_id) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS x FROM sparse),
-d AS (SELECT q.doc_id AS query_id, e.doc_id, CAST(1.0 - sum(q.x * e.x) AS FLOAT) AS distance FROM e q JOIN e USING (pos) WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, e.doc_id),
+d AS (SELECT q.doc_id AS query_id, e.doc_id, CAST(1.0 - list_sum(list(q.x * e.x ORDER BY pos)) AS FLOAT) AS distance FROM e q JOIN e USING (pos) WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, e.doc_id),
 z AS (SELECT q.doc_id AS query_id, a.doc_id, coalesce(distance, 1.0::FLOAT) AS distance FROM documents q CROSS JOIN documents a LEFT JOIN d ON d.query_id = q.doc_id AND d.doc_id = a.doc_id WHERE q.doc_id % 100 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM z)
 SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(CAST(distance AS DOUBLE), 5) + 0.0::DOUBLE AS distance FROM k WHERE rank <= 5""",
