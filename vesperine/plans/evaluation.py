@@ -319,5 +319,5 @@ CAST(sum(event_id % 11 + event_id % 13 + 5) AS BIGINT) AS total_bytes FROM event
         "shared_cache_validation": "SELECT * FROM (VALUES ('fingerprint', 'declared'), ('rows', 'declared'), ('source', 'changed')) t(what, why)",
         "resumed_ground_truth": f"WITH {_TRUTH} SELECT query_id, CAST(rank AS INT) AS rank, id AS vec_id FROM truth",
         "resumed_cache": "SELECT count(*) FILTER (lang = 'de') AS first, count(*) AS n, count(*) AS ids FROM documents WHERE text IS NOT NULL",
-        "repeated_stage": "SELECT i AS run, (SELECT count(*) FROM region) AS n, 4 AS first, 7 AS ran, true AS refused FROM range(5) r(i)",
+        "repeated_stage": "SELECT i AS run, (SELECT count(*) FROM region) AS n, 4::BIGINT AS first, 7::BIGINT AS ran, true AS refused FROM range(5) r(i)",
     }

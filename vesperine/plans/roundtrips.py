@@ -415,14 +415,14 @@ SELECT tier, count(*) AS lines, CAST(sum(octet_length(encode(l)) + 1) AS BIGINT)
         "report_generations": "SELECT '| ' || event_type || ' | ' || count(*) || ' |' AS line, 1 AS generations FROM events GROUP BY event_type UNION ALL VALUES ('| event_type | n |', 1), ('| --- | --- |', 1)",
         "identifiers": r"SELECT doc_id, coalesce(text <> '' AND NOT regexp_matches(text, '[\t\n\r]'), false) AS fits, lang || '-x' AS made FROM documents",
         "strict_values": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_id END AS number, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END AS flag,
-event_id % 5 IN (0, 3) AS is_list, CASE event_id % 5 WHEN 0 THEN 3 WHEN 3 THEN 1 ELSE 0 END AS n_ids FROM events""",
+event_id % 5 IN (0, 3) AS is_list, CAST(CASE event_id % 5 WHEN 0 THEN 3 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS n_ids FROM events""",
         "times_out_of_order": "SELECT event_id FROM events WHERE event_id % 4 IN (1, 2)",
         "matrix_faults": "SELECT vec_id, vec_id % 50 NOT IN (7, 9) AS is_valid, vec_id % 50 NOT IN (7, 8, 9) AS is_unit FROM embeddings",
         "packed_codes": f"SELECT vec_id, CAST({vectors.PARTS * vectors.BITS // 8} AS BIGINT) AS n_bytes, true AS same FROM embeddings",
         "index_search": f"SELECT query_id, doc_id, distance FROM ({search_sql})",
         "simhash_index_search": f"SELECT query_id, doc_id, distance FROM ({search_sql})",
-        "index_metrics": "SELECT doc_id AS query_id, (SELECT count(*) FROM documents) AS approximate_distances, (SELECT count(*) FROM documents) AS expanded_nodes, 24 AS exact_recomputations, 2 AS embedding_batches, 0 AS upper_layer_hops FROM documents WHERE doc_id % 100 = 0",
-        "index_stats": f"SELECT count(*) AS documents, CAST(sum(octet_length(encode(text))) AS BIGINT) AS raw_bytes, 0 AS edges, count(*) * 16 AS code_bytes, count(*) * {4 * texts.DIMENSION} AS dense_bytes_omitted, true AS on_disk FROM documents",
+        "index_metrics": "SELECT doc_id AS query_id, (SELECT count(*) FROM documents) AS approximate_distances, (SELECT count(*) FROM documents) AS expanded_nodes, 24::BIGINT AS exact_recomputations, 2::BIGINT AS embedding_batches, 0::BIGINT AS upper_layer_hops FROM documents WHERE doc_id % 100 = 0",
+        "index_stats": f"SELECT count(*) AS documents, CAST(sum(octet_length(encode(text))) AS BIGINT) AS raw_bytes, 0::BIGINT AS edges, count(*) * 16 AS code_bytes, count(*) * {4 * texts.DIMENSION} AS dense_bytes_omitted, true AS on_disk FROM documents",
         "index_damage": "SELECT * FROM (VALUES ('whole', false), ('changed', true), ('lost', true), ('repeated', true)) t(kind, found)",
         "publication_state": state.format(
             "('second builder', 'busy'), ('lock', 'running'), ('orphans', '1'), ('orphans after repair', '0'), ('meta', '3'), ('rows', CAST((SELECT 2 * count(*) FROM region) AS VARCHAR)), ('alias', 'True'), ('no alias', 'False')"
