@@ -10,8 +10,8 @@ from vesperine.functions import hashing
 from vesperine.functions import text as tx
 from vesperine.functions import vector as vf
 from vesperine.operators import corpus, evaluate, graph, neighbours, quantize, search, sketch
-from vesperine.plans import publish
-from vesperine.sources import documents, vectors
+from vesperine.plans import publish, roundtrips
+from vesperine.sources import documents, storage, vectors
 from vesperine.sources import text as ts
 
 TOPICS = (
@@ -282,6 +282,59 @@ def test_index_round_trip(spark, tmp_path, capsys):
         api.VectorIndex.build(docs.union(docs), path + "2", embedder, search.BuildConfig(pq_parts=16))
 
 
+def test_exact_top_k_sums_in_order(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 48))
+    v[40:200] = v[7]  # copies
+    v[200:240] = v[7] + 1e-7 * rng.normal(size=(40, 48))  # nearer than an FP32 product can tell
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    order = rng.permutation(300)
+    rows = spark.createDataFrame([(int(i), v[i].tolist()) for i in order] + [(999, None)], "id long, v array<float>").repartition(5)
+    asked = rows.filter("id % 10 = 7 or id = 999").withColumnRenamed("id", "query_id")
+    d = (1.0 - np.add.accumulate(v[:, None, :].astype(np.float64) * v[None], axis=2)[:, :, -1]).astype(np.float32)
+    wanted = {(q, r + 1, int(i)) for q in range(7, 300, 10) for r, i in enumerate(np.lexsort((np.arange(300), d[q]))[:4])}
+    for block in (100, 9):
+        found = neighbours.exact_top_k(rows, asked, 4, block).collect()
+        assert {(r.query_id, r["rank"], r.id) for r in found} == wanted and len(found) == len(wanted)
+        assert all(r.distance == d[r.query_id, r.id] for r in found)
+    assert neighbours.exact_top_k(rows.limit(0), asked, 4).count() == 0
+    assert neighbours.exact_top_k(rows, asked.limit(0), 4).count() == 0
+
+
+def test_normalize_sums_a_norm_once(spark):
+    rows = spark.range(2000).select(F.transform(F.sequence(F.lit(1), F.lit(512)), lambda x: (x * (F.col("id") + 1)).cast("float")).alias("v"))
+    one = rows.select(vf.normalize(F.col("v")).alias("v"))
+    assert one.filter(~vf.is_unit(F.col("v"), 1e-6)).count() == 0
+    plan = one._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 1  # it stood in the lambda of each coordinate
+    kept = spark.sql("select array(float(0.6), float(0.8)) v").select(vf.normalize(F.col("v"), vf.ROUNDED).alias("a"), vf.normalize(F.array(F.lit(3.0), F.lit(4.0)), vf.ROUNDED).alias("b")).first()
+    assert kept.a == kept.b == [np.float32(0.6), np.float32(0.8)]
+
+
+def test_budget_of_all_documents_makes_no_row_per_pair(spark, tmp_path, monkeypatch):
+    docs = topic_docs(spark, 90)
+    asked = docs.filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    written = []
+    monkeypatch.setattr(api, "write_shared", lambda df, label: written.append(label) or storage.write_shared(df, label))
+    for approx in ("pq",):
+        index = api.VectorIndex.build(docs, f"file://{tmp_path}/{approx}", api.hash_embedder(64), search.BuildConfig(pq_parts=16, approx=approx), with_graph=False)
+        found, metrics = index.search(asked, None, search.SearchConfig(top_k=5, ef_search=90, rerank_ratio=1.0))
+        assert "shortlist" not in written and found.count() == 45
+        assert {m.exact_recomputations for m in metrics.collect()} == {90}
+        vectors = api.embedded(docs, api.hash_embedder(64))
+        pairs = vectors.join(vectors.filter("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+        truth = search.ranked(pairs.select("query_id", "id", vf.cosine_distance(F.col("q"), F.col("v")).alias("distance")), 5)
+        assert {(r.query_id, r["rank"], r.doc_id, r.distance) for r in found.collect()} == {(r.query_id, r["rank"], r.id, r.distance) for r in truth.collect()}
+
+
+def test_index_searches_have_null_texts_as_empty(spark, tmp_path):
+    rows = [(0, "ripe apple"), (1, None), (2, ""), (3, "orbit star"), (4, "code"), (5, "apple"), (100, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (roundtrips.index_search, roundtrips.simhash_index_search):
+        found = {(r.query_id, r.doc_id) for r in query(spark, str(tmp_path)).collect()}
+        assert {(100, 1), (100, 2), (100, 100)} <= found and len(found) == 10
+
+
 def test_publication(spark, tmp_path):
     path = f"file://{tmp_path}/pub"
     df = spark.range(3).toDF("x")
