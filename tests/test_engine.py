@@ -316,7 +316,7 @@ def test_budget_of_all_documents_makes_no_row_per_pair(spark, tmp_path, monkeypa
     asked = docs.filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
     written = []
     monkeypatch.setattr(api, "write_shared", lambda df, label: written.append(label) or storage.write_shared(df, label))
-    for approx in ("pq",):
+    for approx in ("pq", "simhash"):
         index = api.VectorIndex.build(docs, f"file://{tmp_path}/{approx}", api.hash_embedder(64), search.BuildConfig(pq_parts=16, approx=approx), with_graph=False)
         found, metrics = index.search(asked, None, search.SearchConfig(top_k=5, ef_search=90, rerank_ratio=1.0))
         assert "shortlist" not in written and found.count() == 45
