@@ -39,6 +39,11 @@ def test_known_answers():
     assert hashing.canonical_hash({"b": 1, "a": "é"}) == hashing.canonical_hash({"a": "é", "b": 1})
 
 
+def test_crc32c_of_more_rows_than_a_slice(spark):
+    rows = spark.range(1300).repartition(1).select(F.col("id").cast("string").alias("t")).select("t", hashing.crc32c(F.col("t")).alias("c")).collect()
+    assert [r.c for r in rows] == hashing.crc32c_of([r.t.encode() for r in rows]).tolist() and len(rows) == 1300
+
+
 def test_tokens_do_not_cross_texts():
     buf, starts, ends, first = hashing.tokens(pa.array(["Ab, c", None, "", "d-é"]))
     assert [bytes(buf[a:b]) for a, b in zip(starts, ends)] == [b"Ab", b"c", b"d", "é".encode()]
@@ -320,6 +325,7 @@ def test_budget_of_all_documents_makes_no_row_per_pair(spark, tmp_path, monkeypa
         index = api.VectorIndex.build(docs, f"file://{tmp_path}/{approx}", api.hash_embedder(64), search.BuildConfig(pq_parts=16, approx=approx), with_graph=False)
         found, metrics = index.search(asked, None, search.SearchConfig(top_k=5, ef_search=90, rerank_ratio=1.0))
         assert "shortlist" not in written and found.count() == 45
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # the scan's worker has none beside it
         assert {m.exact_recomputations for m in metrics.collect()} == {90}
         vectors = api.embedded(docs, api.hash_embedder(64))
         pairs = vectors.join(vectors.filter("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
